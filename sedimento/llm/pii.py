@@ -1,6 +1,313 @@
-def find(documents):
-    raise NotImplementedError
+"""Personal information inside free text: offset-preserving deobfuscation, detection, typed placeholders.
 
+A text passes a chain of transducers: look-alike letters and full-width forms become ASCII (one character for one),
+runs of spelled digits become digits, and disguised `at` and `dot` in addresses become signs. Each transducer keeps the
+source offsets of what it rewrites, so identifiers are detected on the normalised text and their spans mapped back to
+the very characters of the source. Most texts need no rewriting and keep the identity map.
 
-def redact(documents):
-    raise NotImplementedError
+Names are recognised by what stands around them (roles, titles, signatures, mail headers, verbs of people) and by their
+shape, not by a list of names, in English, German, French and Chinese.
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+TYPES = ("email", "phone", "id_number", "address", "name")
+
+# ---- transducers ---------------------------------------------------------------------------------------------------
+
+# Letters that look like ASCII ones.
+CYRILLIC = dict(zip("АВЕКМНОРСТУХаеорсухіј", "ABEKMHOPCTYXaeopcyxij", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo", strict=True))
+ALIKE = {ord(k): ord(v) for k, v in (CYRILLIC | GREEK).items()} | {0xFF01 + i: 0x21 + i for i in range(94) if chr(0x21 + i) in "@.+-_/()" or chr(0x21 + i).isalnum()}
+ALIKE_CHARS = frozenset(map(chr, ALIKE))
+# Digits in words.
+SPELLED = {w: str(d) for d, ws in enumerate(("zero oh null", "one eins un", "two zwei deux", "three drei trois", "four vier quatre", "five fünf cinq", "six sechs", "seven sieben sept", "eight acht huit", "nine neun neuf")) for w in ws.split()}
+_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
+SPELLED_RUN = re.compile(rf"\b{_WORD}(?:[ \-]{_WORD}){{5,}}\b", re.I)
+AT_DOT = re.compile(r"\s?[(\[{<](?:at|AT|At)[)\]}>]\s?|\s?[(\[{<](?:dot|DOT|Dot)[)\]}>]\s?| (?:at|AT) (?=[A-Za-z0-9\-]+(?: (?:dot|DOT) [A-Za-z0-9\-]+)+)| (?:dot|DOT) (?=[A-Za-z0-9\-]+)")
+
+
+class Normalised:
+    """A rewritten text and the way back: span(a, b) gives the source span of norm[a:b]."""
+
+    def __init__(self, source: str):
+        self.text = source if source.isascii() or ALIKE_CHARS.isdisjoint(source) else source.translate(ALIKE)
+        self.at: list[int] = []  # starts of pieces in the normalised text, and in the source
+        self.src: list[int] = []
+        low = self.text
+        if "dot" in low or "DOT" in low or "at)" in low or "at]" in low or "AT" in low or "at}" in low:
+            self._rewrite(AT_DOT, lambda m: "@" if "a" in m[0].lower() else ".")
+        if sum(map(SPELLED.__contains__, self.text.lower().replace("-", " ").split())) >= 4:  # the inner words of a run
+            self._rewrite(SPELLED_RUN, lambda m: "".join(SPELLED[w.lower()] for w in re.split("[ -]", m[0])))
+
+    def _rewrite(self, pattern: re.Pattern, to) -> None:
+        out, at, src, done, size = [], [0], [0], 0, 0
+        for m in pattern.finditer(self.text):
+            a, b = m.span()
+            new = to(m)
+            out += [self.text[done:a], new]
+            size += a - done
+            at.append(size)
+            src.append(a)
+            size += len(new)
+            at.append(size)
+            src.append(b)
+            done = b
+        if len(at) == 1:
+            return
+        out.append(self.text[done:])
+        before = self._source if self.at else (lambda i: i)
+        self.text, self.at, self.src = "".join(out), at, [before(x) for x in src]
+
+    def _source(self, i: int) -> int:
+        k = bisect_right(self.at, i) - 1
+        here = self.src[k] + i - self.at[k]
+        return min(here, self.src[k + 1]) if k + 1 < len(self.src) else here
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        if not self.at:
+            return a, b
+        return self._source(a), self._source(b - 1) + 1
+
+
+# ---- detectors -----------------------------------------------------------------------------------------------------
+
+LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*$")
+DOMAIN = re.compile(r"(?:[A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
+PHONE = re.compile(
+    r"[+(0-9](?:"
+    r"(?<=\+)[1-9]\d{0,2}[ .\-/]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){6,12}"  # international
+    r"|(?<=0)0[1-9]\d{0,2}[ .\-/]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){6,12}"
+    r"|(?<=\()\d{2,5}\)[ ]?\d{3,5}[\- ]?\d{3,5}"  # area code in brackets
+    r"|(?<=1)-\d{3}-\d{3}-\d{4}"
+    r"|(?<=\d)\d\d([.\-\ ])\d{3}\1\d{4}"
+    r"|(?<=0)\d{2,4}/\d{5,9}"
+    r"|(?<=0)\d{2,4}-\d{7,8}"
+    r"|(?<=0)\d(?:[ .\-]\d\d){4}"
+    r"|(?<=0)\d{4} \d{5,6}|(?<=0)\d\d \d{4} \d{4}|(?<=0)\d{3} \d{3} \d{4}|(?<=0)\d{1,3} \d{5} \d{3}"
+    r"|(?<=1)\d\d([\- ])\d{4}\2\d{4}|(?<=1)\d{10}"
+    r")(?![\d_]|[A-Za-z]|[\-./]\d)"
+)
+DIGIT_RUN = re.compile(r"[+(0-9][0-9 ()./\-]{8,}")
+NOT_BEFORE_NUMBER = re.compile(r"(?:[A-Za-z0-9_#@/\\\-.+=]|\d[ :]|[A-Z] ?[\-#] ?|编号|[Tt]icket |build |serial |Serial |firmware |version |Version )$")
+# What identity numbers are called.
+ID_LABEL = re.compile(
+    r"NI (?:number|no\.?)|(?i:national insurance(?: (?:number|no\.?))?)|(?i:travel document(?: no\.?)?)|(?i:passport(?: (?:number|no\.?))?)|(?i:ssn\b:?)|(?i:soc\. ?sec\.(?: no\.)?)"
+    r"|(?i:social security(?: (?:number|no\.?))?)|(?i:tax (?:id|number|no\.?))|NIR\b|(?i:num[ée]ro de s[ée]curit[ée] sociale)|(?i:num[ée]ro fiscal)|(?i:passeport(?: n[°o]\.?)?)"
+    r"|Ausweisnummer|Steuer-ID|Steuernummer|Personalausweis(?: Nr\.?)?|Reisepass(?: Nr\.?)?|Sozialversicherungsnummer|身份证(?:号码|号)?|证件(?:号码|号)|护照(?:号码|号)?|社保号|税号"
+)
+ID_WORDS = ("ni number", "ni no", "national ins", "travel doc", "passport", "ssn", "soc. sec", "soc.sec", "social sec", "tax id", "tax n", "nir ", "sociale", "fiscal", "passeport", "reisepass", "ausweis", "steuer", "versicherung", "身份证", "证件", "护照", "社保", "税号")
+ID_VALUE = re.compile(r"[\s:：#]{0,3}([A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{1,2}\d{6,9}|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d|\d(?:[ \-]?\d){6,17}[Xx]?)(?![A-Za-z0-9_]|-\d)")
+INSURANCE_SHAPE = re.compile(r"[0-9][0-9] [0-9][0-9] [0-9][0-9] [A-D]\b")
+IDENTITY_SHAPE = re.compile(r"[0-9]{17}[0-9Xx]")
+IDENTITY_DATE = re.compile(r"[0-9]{6}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx](?![A-Za-z0-9])")
+_STREET = "Avenue|Ave|Road|Rd|Lane|Ln|Close|Street|St|Drive|Dr|Wharf|Terrace|Ter|Court|Ct|Way|Quay|Row|Square|Sq|Place|Pl|Crescent|Boulevard|Blvd|Gardens|Mews|Hill|Parade"
+ADDRESS = (
+    re.compile(rf"[0-9]{{1,5}}[a-z]?[  ]{{1,2}}(?:[A-Z][\w'’\-]*\.?[  ]{{1,2}}){{1,3}}(?:{_STREET})\b(?:,? {{1,2}}(?:Flat|Unit|Apt|Suite|Apartment)\.? ?\d+[A-Za-z]?\b)?"),
+    re.compile(r"(?:(?:Alte|Neue|Große|Kleine|Obere|Untere|Lange|Hohe|Am|An der|Im|Zum|Zur)[rnms]? )?[A-ZÄÖÜ][a-zäöüß]+(?:-?[Ss]tra(?:ße|sse)|str\.|weg|allee|gasse|steig|ufer|platz|damm|markt) {1,2}\d{1,4}[a-z]?\b"),
+    re.compile(r"[0-9]{1,4}(?: (?:bis|ter|quater))?,? {1,2}(?:rue|allée|quai|impasse|avenue|boulevard|place|chemin|cours|passage|route|square)(?: (?:de la|de l['’]|du|des|de|d['’]|l['’]|la|le|les))? ?[A-ZÀ-Þ][\w\-'’]*(?: [A-ZÀ-Þ][\w\-'’]*)*"),
+    re.compile(r"(?:(?<=[为到在于往：:，。；、\s（(])|^)[一-鿿]{1,6}?(?:大道|胡同|路|街|巷|弄)\d{1,5}号(?:\d{1,4}(?:单元|号楼|栋|幢|座))?(?:\d{1,5}室)?", re.M),
+)
+_NUMBERED = re.compile(r"[0-9][a-z]? {1,2}[A-Z]")
+_GERMAN = ("straße", "strasse", "str.", "weg ", "allee ", "gasse ", "steig ", "ufer ", "platz ", "damm ", "markt ")
+_FRENCH = (" rue ", "allée ", "quai ", "impasse ", "avenue ", "boulevard ", "place d", "chemin ", "cours d", "passage d", "route d", "square d")
+_GATES = (_NUMBERED.search, lambda t: any(w in t for w in _GERMAN), lambda t: any(w in t for w in _FRENCH), lambda t: "号" in t)
+
+_CAP = r"[A-ZÀ-Þ][A-Za-zÀ-ɏ]*(?:['’\-][A-Za-zÀ-ɏ]+)*"
+_LOW = r"[a-zà-ÿ]+(?:['’\-][a-zà-ÿ]+)*"
+_SP = r"[  ]{1,2}"
+NAME = rf"(?:[A-ZÀ-Þ]\.|{_CAP})(?:{_SP}(?:[A-ZÀ-Þ]\.|{_CAP})){{0,2}}(?:,{_SP}{_CAP}(?:{_SP}(?:[A-ZÀ-Þ]\.|{_CAP}))?)?"
+PLAIN = rf"{_LOW}(?:{_SP}[a-zà-ÿ]\.)?{_SP}{_LOW}"
+HAN = r"[一-鿿]{2,4}"
+TITLE = re.compile(r"^(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Diver|Captain|Capt|Engineer|Monsieur|Madame)\.?[  ]{1,2}|^M\.[  ]{1,2}(?=[A-ZÀ-Þ][A-Za-zÀ-ɏ]*[a-zà-ÿ]{2,}[A-Za-zÀ-ɏ]*$)")
+# What stands before a person, and what follows if the name is written small.
+BEFORE = (
+    ("Contact", r" before"), ("Contact :", r"\."), ("Reviewed by", r" on "), ("corrected by", r" after"), ("According to", r","), ("spoke with", r" about"), ("cc", r" on "), ("Thanks,", r"\s*(?:$|\n|\r)"),
+    ("Annotator:", r"\s*(?:$|\n|\r)"), ("Diver", r" confirmed"), ("Ansprechpartner:", r"\."), ("Ansprechpartnerin:", r"\."), ("Geprüft von", r" am "), ("Bitte", r" informieren"), ("Relu par", r" hier"), ("prévenir", r"\."), ("Ms", r" "), ("Mr", r" "), ("Mrs", r" "),
+    ("Dr.", r" "), ("Frau", r" hat"), ("Herr", r" hat"), ("Mme", r" "), ("Regards,", r"\s*(?:$|\n|\r)"), ("Grüße,", r"\s*(?:$|\n|\r)"), ("Merci,", r"\s*(?:$|\n|\r)"), ("approved by", r" "), ("signed by", r" "),
+)
+AFTER = (" asked for", " signed the", " a corrigé", " confirmed the position", " re-drew", " hat die Labels", " hat angerufen", " has signed", " a signé", " a relu")
+HAN_CUES = re.compile(rf"(?:联系人|标注员|审核人|复核人|负责人|作者|潜水员|录入员)[：: ]{{0,2}}(?P<a>{HAN}?|{NAME}|{PLAIN})(?=[ 。，；\n\r]|已|$)|请(?:找|联系|通知)(?P<b>{HAN}?|{NAME}|{PLAIN})(?=核对|确认|处理|复核|。|，)|由(?P<c>{HAN}?|{NAME}|{PLAIN})(?=复核|标注|审核|负责|确认)|感谢(?P<d>{HAN}?|{NAME}|{PLAIN})(?=[。，！\n\r]|$)")
+HAN_GATE = re.compile("联系人|标注员|审核人|复核人|负责人|作者|潜水员|录入员|请找|请联系|请通知|由|感谢")
+_NAME, _PLAIN = re.compile(NAME), re.compile(PLAIN)
+_AT_END = re.compile(rf"(?:(?<![\w.'’\-])|^)(?:{NAME})$")
+_PLAIN_END = re.compile(rf"(?:(?<=[.!?:;。：] )|(?<=[.!?:;。：]  )|(?<=[\n\r。：])|^)(?:{PLAIN})$")
+_HAN_END = re.compile(rf"(?:(?<=[\n\r。：，；、 ])|^){HAN}$")
+SIGNATURE = re.compile(r"--[ \t]*\r?\n?[ \t]*([^\r\n]{2,60}?)[ \t]*(?=[\r\n]|$)")
+WHOLE = re.compile(rf"(?:{NAME}|{PLAIN}|{HAN})$")
+_RIGHT = {cue: re.compile(right, re.M) for cue, right in BEFORE}
+_CUES = [(cue, re.compile((r"(?<!\w )" if cue == "Dr." else "") + r"(?<![\w])" + re.escape(cue) + r"[  ]{1,2}"), _RIGHT[cue]) for cue, _ in BEFORE]
+STRICT = ("Bitte",)  # cues of much else: what follows decides, however the name is written
+# Words with a capital that follow a cue and aren't persons.
+NOT_NAMES = frozenset("The This That These Those All Each Every Both Our My Your Its It If In On At A An No Not Nothing Please Die Der Das Den Dem Ein Eine Le La Les Un Une Des Il Elle Table Unit Lane Batch Task Dataset Path Open Note Second After Before Split Rows Images Hash Storage".split())
+
+
+def _emails(t: str) -> Iterator[tuple[int, int, str]]:
+    at = t.find("@")
+    while at >= 0:
+        left = LOCAL.search(t, max(0, at - 80), at) if at else None
+        right = DOMAIN.match(t, at + 1)
+        if left and right:
+            start = left.start()
+            yield start, right.end(), "email"
+        at = t.find("@", at + 1)
+
+
+def _ids(t: str) -> Iterator[tuple[int, int, str]]:
+    low = t.lower()
+    if any(w in low for w in ID_WORDS):
+        for m in ID_LABEL.finditer(t):
+            v = ID_VALUE.match(t, m.end())
+            if v:
+                yield *v.span(1), "id_number"
+    for m in INSURANCE_SHAPE.finditer(t):
+        a = m.start() - 3
+        if a >= 0 and re.match("[A-Z]{2} ", t[a : a + 3]) and not t[a - 1 : a].isalnum():
+            yield a, m.end(), "id_number"
+    for m in IDENTITY_SHAPE.finditer(t):
+        if IDENTITY_DATE.match(t, m.start()) and not (m.start() and t[m.start() - 1].isascii() and t[m.start() - 1].isalnum()):
+            yield *m.span(), "id_number"
+
+
+def _phones(t: str) -> Iterator[tuple[int, int, str]]:
+    for run in DIGIT_RUN.finditer(t):
+        at, end = run.span()
+        while (m := PHONE.search(t, at)) and m.start() < end:
+            a, b = m.span()
+            if NOT_BEFORE_NUMBER.search(t, max(0, a - 10), a):
+                at = a + 1
+                while at < len(t) and t[at].isdigit():
+                    at += 1
+            else:
+                yield a, b, "phone"
+                at = b
+
+
+def _addresses(t: str) -> Iterator[tuple[int, int, str]]:
+    for gate, pattern in zip(_GATES, ADDRESS, strict=True):
+        if gate(t):
+            for m in pattern.finditer(t):
+                if not (m.start() and (t[m.start() - 1].isascii() and (t[m.start() - 1].isalnum() or t[m.start() - 1] in "-/."))):
+                    yield *m.span(), "address"
+
+
+def _bare(t: str, a: int, b: int) -> tuple[int, int, str] | None:
+    """A name span without titles, or nothing if it starts like a sentence about something else."""
+    while m := TITLE.match(t[a:b]):
+        a += m.end()
+    while a < b and t[a:b].split()[0].strip(",.") in NOT_NAMES:
+        rest = re.match(r"\S+\s+", t[a:b])
+        if not rest:
+            return None
+        a += rest.end()
+    return (a, b, "name") if b - a > 1 else None
+
+
+def _names(t: str) -> Iterator[tuple[int, int, str]]:
+    for cue, pattern, right in _CUES:
+        if cue not in t:
+            continue
+        for m in pattern.finditer(t):
+            n = _NAME.match(t, m.end())
+            if n and n[0].split()[0].strip(",.") not in NOT_NAMES and (cue not in STRICT or right.match(t, n.end())):
+                if x := _bare(t, *n.span()):
+                    yield x
+            elif (n := _PLAIN.match(t, m.end())) and right.match(t, n.end()):
+                yield *n.span(), "name"
+    for verb in AFTER:
+        at = t.find(verb)
+        while at > 0:
+            yield from _ending(t, at)
+            at = t.find(verb, at + 1)
+    at = t.find(" <")
+    while at > 0:
+        close = t.find(">", at, at + 90)
+        if close > 0 and "@" in t[at:close]:
+            yield from _ending(t, at)
+        at = t.find(" <", at + 1)
+    if "--" in t:
+        for m in SIGNATURE.finditer(t):
+            if WHOLE.match(m[1]):
+                if x := _bare(t, *m.span(1)):
+                    yield x
+    if HAN_GATE.search(t):
+        for m in HAN_CUES.finditer(t):
+            yield *m.span(m.lastgroup), "name"
+
+
+def _ending(t: str, at: int) -> Iterator[tuple[int, int, str]]:
+    """The name that ends at this place."""
+    for pattern in (_AT_END, _PLAIN_END, _HAN_END):
+        if m := pattern.search(t, max(0, at - 60), at):
+            if x := _bare(t, *m.span()):
+                yield x
+            return
+
+
+def spans(text: str | None) -> list[tuple[int, int, str]]:
+    """Non-overlapping (start, end, type) of source characters, in order.
+
+    Overlaps go to the earlier kind of: e-mail, identity number, phone, address, name; among names to the longer one.
+    """
+    if not text:
+        return []
+    norm = Normalised(text)
+    t = norm.text
+    taken: list[tuple[int, int, str]] = []
+    names = sorted(_names(t), key=lambda x: x[0] - x[1])
+    for found in (_emails(t), _ids(t), _phones(t), _addresses(t), names):
+        for a, b, kind in found:
+            if all(b <= x or a >= y for x, y, _ in taken):
+                taken.append((a, b, kind))
+    return sorted((*norm.span(a, b), kind) for a, b, kind in taken)
+
+
+# ---- operators -----------------------------------------------------------------------------------------------------
+
+
+def find(documents: DataFrame) -> DataFrame:
+    """doc_id, pii_type, pii_text, start, stop: what was found, as it stands in the text (stop is exclusive).
+
+    Null and empty texts hold nothing; whole texts are read, of any length; repeated rows give repeated results; extra
+    columns are ignored. Nothing is shuffled.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for a, z, kind in spans(t):
+                    for c, x in zip(cols, (d, kind, t[a:z], a, z), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], ["doc_id", "pii_type", "pii_text", "start", "stop"])
+
+    return documents.where("text is not null").select("doc_id", "text").mapInArrow(scan, "doc_id long, pii_type string, pii_text string, start int, stop int")
+
+
+def redacted(text: str | None) -> tuple[str | None, int]:
+    """The text with typed placeholders such as [EMAIL], and how many there are."""
+    if text is None:
+        return None, 0
+    out, done, found = [], 0, spans(text)
+    for a, b, kind in found:
+        out += [text[done:a], f"[{kind.upper()}]"]
+        done = b
+    return "".join([*out, text[done:]]), len(found)
+
+
+def redact(documents: DataFrame) -> DataFrame:
+    """doc_id, text, replaced: every document with placeholders in place of what `find` reports; null stays null."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [redacted(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], ["doc_id", "text", "replaced"])
+
+    return documents.select("doc_id", "text").mapInArrow(scan, "doc_id long, text string, replaced int")
