@@ -1,3 +1,5 @@
 """DuckDB statements that must give the same rows as the core queries."""
 
-SQL: dict[str, str] = {}
+from sedimento.plans import text_plan
+
+SQL: dict[str, str] = {**text_plan.SQL}
