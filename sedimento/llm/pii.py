@@ -202,7 +202,7 @@ def _bare(t: str, a: int, b: int) -> tuple[int, int, str] | None:
     """A name span without titles, or nothing if it starts like a sentence about something else."""
     while m := TITLE.match(t[a:b]):
         a += m.end()
-    while a < b and t[a:b].split()[0].strip(",.") in NOT_NAMES:
+    while a < b and t[a:b].split()[0].strip(",") in NOT_NAMES:
         rest = re.match(r"\S+\s+", t[a:b])
         if not rest:
             return None
@@ -216,7 +216,7 @@ def _names(t: str) -> Iterator[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(t):
             n = _NAME.match(t, m.end())
-            if n and n[0].split()[0].strip(",.") not in NOT_NAMES and (cue not in STRICT or right.match(t, n.end())):
+            if n and n[0].split()[0].strip(",") not in NOT_NAMES and (cue not in STRICT or right.match(t, n.end())):
                 if x := _bare(t, *n.span()):
                     yield x
             elif (n := _PLAIN.match(t, m.end())) and right.match(t, n.end()):
