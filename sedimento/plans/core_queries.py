@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimento.operators import flatten, hierarchy, orphans
-from sedimento.plans import catalog_plan, tabular_plan, text_plan
+from sedimento.plans import catalog_plan, cleaning_plan, tabular_plan, text_plan
 from sedimento.session import table
 
 
@@ -52,4 +52,4 @@ def p6_objects(spark: SparkSession, d: str) -> DataFrame:
     return flatten.objects(_bridge(spark, d)).selectExpr("hex(node_id) as node_id", "body", "occurrences")
 
 
-QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **text_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p5_found, p5_report, p6_found, p6_objects)}
+QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **cleaning_plan.QUERIES, **text_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p5_found, p5_report, p6_found, p6_objects)}

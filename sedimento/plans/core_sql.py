@@ -1,5 +1,5 @@
 """DuckDB statements that must give the same rows as the core queries."""
 
-from sedimento.plans import catalog_plan, tabular_plan, text_plan
+from sedimento.plans import catalog_plan, cleaning_plan, tabular_plan, text_plan
 
-SQL: dict[str, str] = {**catalog_plan.SQL, **tabular_plan.SQL, **text_plan.SQL}
+SQL: dict[str, str] = {**catalog_plan.SQL, **tabular_plan.SQL, **cleaning_plan.SQL, **text_plan.SQL}
