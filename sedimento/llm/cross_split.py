@@ -13,67 +13,25 @@ Fingerprints are made distinct first: the copies of one file, however many, are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from sedimento.functions import reading
+from sedimento.operators import hamming
 
-BITS, BANDS, MAX_BITS = 144, 6, 10
-BAND_BITS = BITS // BANDS
-MIN_JACCARD = (BITS - MAX_BITS) / (BITS + MAX_BITS)
+MAX_BITS = 10
+MIN_JACCARD = (hamming.BITS - MAX_BITS) / (hamming.BITS + MAX_BITS)
 HASH_SALTS = 16
 
 
-def fingerprints(label_records: Column) -> Column:
-    """array<struct<algo, f0, f1, f2>>: fingerprints as three longs of 48 bits; values that aren't 36 digits are none."""
-
-    def one(x: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(F.lower(x["value"]), "^\\s*0x", ""), "[^0-9a-z]", "")
-        part = lambda k: F.conv(F.substring(bare, 1 + 12 * k, 12), 16, 10).cast("long")
-        return F.when(bare.rlike("^[0-9a-f]{36}$"), F.struct(F.coalesce(F.lower(reading.strip(x["algo"])), F.lit("")).alias("algo"), *[part(k).alias(f"f{k}") for k in range(3)]))
-
-    return F.array_distinct(F.filter(F.transform(F.filter(label_records, lambda x: x["type"] == "fingerprint"), one), lambda x: x.isNotNull()))
-
-
 def split_records(samples: DataFrame) -> DataFrame:
     """id, train, split, hash, prints, origin of every sample with a recorded split."""
     s = samples.where("id is not null").select("id", reading.content_hash(F.col("sha256")).alias("hash"), reading.labels(F.col("labels_json")).alias("l"), reading.fields(F.col("metadata_json")).alias("m"))
-    s = s.select("id", "hash", reading.recorded_split(F.col("l"), F.col("m")).alias("split"), fingerprints(F.col("l")).alias("prints"), F.col("m")["origin"].alias("origin"))
+    s = s.select("id", "hash", reading.recorded_split(F.col("l"), F.col("m")).alias("split"), hamming.fingerprints(F.col("l")).alias("prints"), F.col("m")["origin"].alias("origin"))
     return s.where("split is not null").withColumn("train", F.col("split") == "train")
 
 
-def _band(k: int, side: str = "") -> Column:
-    """Block k: the upper or lower 24 bits of long k // 2."""
-    long = F.col(f"{side}f{k // 2}")
-    return F.shiftright(long, BAND_BITS).cast("long") if k % 2 == 0 else long.bitwiseAND(F.lit((1 << BAND_BITS) - 1))
-
-
-def _keys(algo: Column, value: Column, k: int) -> Column:
-    return F.xxhash64(algo, F.lit(k), value)
-
-
-def _probes(turned: Column, k: int) -> Column:
-    """Keys of block k as it is and with each bit turned."""
-    return F.transform(turned, lambda m: F.struct(_keys(F.col("algo"), _band(k).bitwiseXOR(m.cast("long")), k).alias("key"), F.lit(k).alias("band")))
-
-
-def near_prints(evaluation: DataFrame, train: DataFrame) -> DataFrame:
-    """Distinct fingerprints (algo, f0, f1, f2) of both sides -> algo, e0, e1, e2, t0, t1, t2: pairs within MAX_BITS."""
-    t = train.select("algo", *[F.col(f"f{k}").alias(f"t{k}") for k in range(3)], F.explode(F.array(*[F.struct(_keys(F.col("algo"), _band(k), k).alias("key"), F.lit(k).alias("band")) for k in range(BANDS)])).alias("x"))
-    turned = F.array(*[F.lit(0)], *[F.lit(1 << b) for b in range(BAND_BITS)])
-    probes = F.concat(*[_probes(turned, k) for k in range(BANDS)])
-    e = evaluation.select(F.col("algo").alias("e_algo"), *[F.col(f"f{k}").alias(f"e{k}") for k in range(3)], F.explode(probes).alias("x"))
-    t = t.select("algo", "t0", "t1", "t2", "x.key", "x.band")
-    e = e.select("e_algo", "e0", "e1", "e2", "x.key", "x.band")
-    diff = [F.col(f"e{k}").bitwiseXOR(F.col(f"t{k}")) for k in range(3)]
-    bits = sum((F.bit_count(x) for x in diff[1:]), F.bit_count(diff[0]))
-    block = lambda k: F.bit_count(F.shiftright(diff[k // 2], BAND_BITS) if k % 2 == 0 else diff[k // 2].bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
-    first = F.coalesce(*[F.when(block(k) <= 1, F.lit(k)) for k in range(BANDS)])
-    both = BITS - bits
-    return e.join(t, ["key", "band"]).where((F.col("e_algo") == F.col("algo")) & (both / (BITS + bits) >= F.lit(MIN_JACCARD - 1e-9)) & (F.col("band") == first)).select("algo", "e0", "e1", "e2", "t0", "t1", "t2")
-
-
 def overlaps(samples: DataFrame) -> DataFrame:
     """evaluation_id, train_id, same_hash, near: all pairs of an evaluation (validation, test) and a train sample.
 
@@ -89,7 +47,9 @@ def overlaps(samples: DataFrame) -> DataFrame:
     same = eh.join(th, ["hash", "salt"]).select("e", "t", F.lit(True).alias("same_hash"), F.lit(False).alias("near"))
     prints = s.where(F.size("prints") > 0).select("train", "id", F.explode("prints").alias("p")).select("train", "id", "p.*")
     distinct = prints.groupBy("train", "algo", "f0", "f1", "f2").agg(F.count("*").alias("n"))
-    near = near_prints(distinct.where("not train").drop("train", "n"), distinct.where("train").drop("train", "n"))
+    near = hamming.near_pairs(distinct.where("not train").drop("train", "n"), distinct.where("train").drop("train", "n"), MAX_BITS)
+    shared = hamming.BITS - F.col("bits")
+    near = near.where(shared / (hamming.BITS + F.col("bits")) >= F.lit(MIN_JACCARD - 1e-9)).drop("bits")
     on = lambda side, name: prints.where("train" if side == "t" else "not train").select("algo", *[F.col(f"f{k}").alias(f"{side}{k}") for k in range(3)], F.col("id").alias(name))
     near = near.join(on("e", "e"), ["algo", "e0", "e1", "e2"]).join(on("t", "t"), ["algo", "t0", "t1", "t2"]).select("e", "t", F.lit(False).alias("same_hash"), F.lit(True).alias("near"))
     return same.unionByName(near).groupBy("e", "t").agg(F.max("same_hash").alias("same_hash"), F.max("near").alias("near")).select(F.col("e").alias("evaluation_id"), F.col("t").alias("train_id"), "same_hash", "near")
