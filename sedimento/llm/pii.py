@@ -35,14 +35,17 @@ AT_DOT = re.compile(r"\s?[(\[{<](?:at|AT|At)[)\]}>]\s?|\s?[(\[{<](?:dot|DOT|Dot)
 
 
 class Normalised:
-    """A rewritten text and the way back: span(a, b) gives the source span of norm[a:b]."""
+    """A rewritten text and the way back: span(a, b) gives the source span of text[a:b].
+
+    Each transducer is a layer: starts of its pieces in its output and in its input. Pieces alternate, kept and
+    rewritten; a place in a kept piece maps by its offset, one in a rewritten piece stands for the whole piece.
+    """
 
     def __init__(self, source: str):
         self.text = source if source.isascii() or ALIKE_CHARS.isdisjoint(source) else source.translate(ALIKE)
-        self.at: list[int] = []  # starts of pieces in the normalised text, and in the source
-        self.src: list[int] = []
-        low = self.text
-        if "dot" in low or "DOT" in low or "at)" in low or "at]" in low or "AT" in low or "at}" in low:
+        self.layers: list[tuple[list[int], list[int]]] = []
+        t = self.text
+        if "dot" in t or "DOT" in t or "at)" in t or "at]" in t or "AT" in t or "at}" in t:
             self._rewrite(AT_DOT, lambda m: "@" if "a" in m[0].lower() else ".")
         if sum(map(SPELLED.__contains__, self.text.lower().replace("-", " ").split())) >= 4:  # the inner words of a run
             self._rewrite(SPELLED_RUN, lambda m: "".join(SPELLED[w.lower()] for w in re.split("[ -]", m[0])))
@@ -50,36 +53,29 @@ class Normalised:
     def _rewrite(self, pattern: re.Pattern, to) -> None:
         out, at, src, done, size = [], [0], [0], 0, 0
         for m in pattern.finditer(self.text):
-            a, b = m.span()
             new = to(m)
-            out += [self.text[done:a], new]
-            size += a - done
-            at.append(size)
-            src.append(a)
+            out += [self.text[done : m.start()], new]
+            size += m.start() - done
+            at += [size, size + len(new)]
+            src += m.span()
             size += len(new)
-            at.append(size)
-            src.append(b)
-            done = b
-        if len(at) == 1:
-            return
-        out.append(self.text[done:])
-        before = self._source if self.at else (lambda i: i)
-        self.text, self.at, self.src = "".join(out), at, [before(x) for x in src]
-
-    def _source(self, i: int) -> int:
-        k = bisect_right(self.at, i) - 1
-        here = self.src[k] + i - self.at[k]
-        return min(here, self.src[k + 1]) if k + 1 < len(self.src) else here
+            done = m.end()
+        if done:
+            out.append(self.text[done:])
+            self.text = "".join(out)
+            self.layers.append((at, src))
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        if not self.at:
-            return a, b
-        return self._source(a), self._source(b - 1) + 1
+        for at, src in reversed(self.layers):
+            k, n = bisect_right(at, a) - 1, bisect_right(at, b - 1) - 1
+            a = src[k] if k % 2 else src[k] + a - at[k]
+            b = src[n + 1] if n % 2 else src[n] + b - at[n]
+        return a, b
 
 
 # ---- detectors -----------------------------------------------------------------------------------------------------
 
-LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*$")
+LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*\Z")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 PHONE = re.compile(
     r"[+(0-9](?:"
@@ -92,11 +88,11 @@ PHONE = re.compile(
     r"|(?<=0)\d{2,4}-\d{7,8}"
     r"|(?<=0)\d(?:[ .\-]\d\d){4}"
     r"|(?<=0)\d{4} \d{5,6}|(?<=0)\d\d \d{4} \d{4}|(?<=0)\d{3} \d{3} \d{4}|(?<=0)\d{1,3} \d{5} \d{3}"
-    r"|(?<=1)\d\d([\- ])\d{4}\2\d{4}|(?<=1)\d{10}"
+    r"|(?<=1)\d\d([\- ])\d{4}\2\d{4}|(?<=1)\d{10}|(?<=0)[1-9]\d{8,10}"
     r")(?![\d_]|[A-Za-z]|[\-./]\d)"
 )
 DIGIT_RUN = re.compile(r"[+(0-9][0-9 ()./\-]{8,}")
-NOT_BEFORE_NUMBER = re.compile(r"(?:[A-Za-z0-9_#@/\\\-.+=]|\d[ :]|[A-Z] ?[\-#] ?|编号|[Tt]icket |build |serial |Serial |firmware |version |Version )$")
+NOT_BEFORE_NUMBER = re.compile(r"(?:[A-Za-z0-9_#@/\\\-.+=]|\d[ :]|[A-Z] ?[\-#] ?|编号|[Tt]icket |[Hh]ash |哈希为|Offset |offset |checksum |build |serial |Serial |firmware |version |Version )\Z")
 # What identity numbers are called.
 ID_LABEL = re.compile(
     r"NI (?:number|no\.?)|(?i:national insurance(?: (?:number|no\.?))?)|(?i:travel document(?: no\.?)?)|(?i:passport(?: (?:number|no\.?))?)|(?i:ssn\b:?)|(?i:soc\. ?sec\.(?: no\.)?)"
@@ -126,7 +122,7 @@ _SP = r"[  ]{1,2}"
 NAME = rf"(?:[A-ZÀ-Þ]\.|{_CAP})(?:{_SP}(?:[A-ZÀ-Þ]\.|{_CAP})){{0,2}}(?:,{_SP}{_CAP}(?:{_SP}(?:[A-ZÀ-Þ]\.|{_CAP}))?)?"
 PLAIN = rf"{_LOW}(?:{_SP}[a-zà-ÿ]\.)?{_SP}{_LOW}"
 HAN = r"[一-鿿]{2,4}"
-TITLE = re.compile(r"^(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Diver|Captain|Capt|Engineer|Monsieur|Madame)\.?[  ]{1,2}|^M\.[  ]{1,2}(?=[A-ZÀ-Þ][A-Za-zÀ-ɏ]*[a-zà-ÿ]{2,}[A-Za-zÀ-ɏ]*$)")
+TITLE = re.compile(r"^(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Diver|Captain|Capt|Engineer|Monsieur|Madame)\.?[  ]{1,2}|^M\.[  ]{1,2}(?=[A-ZÀ-Þ][A-Za-zÀ-ɏ]*[a-zà-ÿ]{2,}[A-Za-zÀ-ɏ]*\Z)")
 # What stands before a person, and what follows if the name is written small.
 BEFORE = (
     ("Contact", r" before"), ("Contact :", r"\."), ("Reviewed by", r" on "), ("corrected by", r" after"), ("According to", r","), ("spoke with", r" about"), ("cc", r" on "), ("Thanks,", r"\s*(?:$|\n|\r)"),
@@ -137,11 +133,11 @@ AFTER = (" asked for", " signed the", " a corrigé", " confirmed the position",
 HAN_CUES = re.compile(rf"(?:联系人|标注员|审核人|复核人|负责人|作者|潜水员|录入员)[：: ]{{0,2}}(?P<a>{HAN}?|{NAME}|{PLAIN})(?=[ 。，；\n\r]|已|$)|请(?:找|联系|通知)(?P<b>{HAN}?|{NAME}|{PLAIN})(?=核对|确认|处理|复核|。|，)|由(?P<c>{HAN}?|{NAME}|{PLAIN})(?=复核|标注|审核|负责|确认)|感谢(?P<d>{HAN}?|{NAME}|{PLAIN})(?=[。，！\n\r]|$)")
 HAN_GATE = re.compile("联系人|标注员|审核人|复核人|负责人|作者|潜水员|录入员|请找|请联系|请通知|由|感谢")
 _NAME, _PLAIN = re.compile(NAME), re.compile(PLAIN)
-_AT_END = re.compile(rf"(?:(?<![\w.'’\-])|^)(?:{NAME})$")
-_PLAIN_END = re.compile(rf"(?:(?<=[.!?:;。：] )|(?<=[.!?:;。：]  )|(?<=[\n\r。：])|^)(?:{PLAIN})$")
-_HAN_END = re.compile(rf"(?:(?<=[\n\r。：，；、 ])|^){HAN}$")
+_AT_END = re.compile(rf"(?:(?<![\w.'’\-])|^)(?:{NAME})\Z")
+_PLAIN_END = re.compile(rf"(?:(?<=[.!?:;。：] )|(?<=[.!?:;。：]  )|(?<=[\n\r。：])|^)(?:{PLAIN})\Z")
+_HAN_END = re.compile(rf"(?:(?<=[\n\r。：，；、 ])|^){HAN}\Z")
 SIGNATURE = re.compile(r"--[ \t]*\r?\n?[ \t]*([^\r\n]{2,60}?)[ \t]*(?=[\r\n]|$)")
-WHOLE = re.compile(rf"(?:{NAME}|{PLAIN}|{HAN})$")
+WHOLE = re.compile(rf"(?:{NAME}|{PLAIN}|{HAN})\Z")
 _RIGHT = {cue: re.compile(right, re.M) for cue, right in BEFORE}
 _CUES = [(cue, re.compile((r"(?<!\w )" if cue == "Dr." else "") + r"(?<![\w])" + re.escape(cue) + r"[  ]{1,2}"), _RIGHT[cue]) for cue, _ in BEFORE]
 STRICT = ("Bitte",)  # cues of much else: what follows decides, however the name is written
