@@ -122,7 +122,8 @@ _SP = r"[  ]{1,2}"
 NAME = rf"(?:[A-ZÀ-Þ]\.|{_CAP})(?:{_SP}(?:[A-ZÀ-Þ]\.|{_CAP})){{0,2}}(?:,{_SP}{_CAP}(?:{_SP}(?:[A-ZÀ-Þ]\.|{_CAP}))?)?"
 PLAIN = rf"{_LOW}(?:{_SP}[a-zà-ÿ]\.)?{_SP}{_LOW}"
 HAN = r"[一-鿿]{2,4}"
-TITLE = re.compile(r"^(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Diver|Captain|Capt|Engineer|Monsieur|Madame)\.?[  ]{1,2}|^M\.[  ]{1,2}(?=[A-ZÀ-Þ][A-Za-zÀ-ɏ]*[a-zà-ÿ]{2,}[A-Za-zÀ-ɏ]*\Z)")
+TITLE = re.compile(r"(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Diver|Captain|Capt|Engineer|Monsieur|Madame)\.?[  ]{1,2}")
+MONSIEUR = re.compile(r"M\.[  ]{1,2}(?=\S+\Z)")  # a title before a French verb, elsewhere an initial
 # What stands before a person, and what follows if the name is written small.
 BEFORE = (
     ("Contact", r" before"), ("Contact :", r"\."), ("Reviewed by", r" on "), ("corrected by", r" after"), ("According to", r","), ("spoke with", r" about"), ("cc", r" on "), ("Thanks,", r"\s*(?:$|\n|\r)"),
@@ -220,7 +221,9 @@ def _names(t: str) -> Iterator[tuple[int, int, str]]:
     for verb in AFTER:
         at = t.find(verb)
         while at > 0:
-            yield from _ending(t, at)
+            for a, b, kind in _ending(t, at):
+                m = MONSIEUR.match(t[a:b]) if verb.startswith(" a ") else None
+                yield a + (m.end() if m else 0), b, kind
             at = t.find(verb, at + 1)
     at = t.find(" <")
     while at > 0:

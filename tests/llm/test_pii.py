@@ -24,6 +24,7 @@ CASES = [
     ("家庭住址为鲸歌街80号6单元320室。在第9号测线上", [("address", "鲸歌街80号6单元320室")]),
     ("Contact I. Abernoth before the next import. Dr. Skarvelle asked for tracks.", [("name", "I. Abernoth"), ("name", "Skarvelle")]),
     ("Thanks, Crannogh, Emeka\nleopold keldermane signed the survey sheet.", [("name", "Crannogh, Emeka"), ("name", "leopold keldermane")]),
+    ("M. Jelmark a corrigé les étiquettes. Contact M. Eskelmoor before the next import.", [("name", "Jelmark"), ("name", "M. Eskelmoor")]),
     ("Bitte Ingrid Jelmark informieren. Bitte Anker und Netze nicht ablegen.", [("name", "Ingrid Jelmark")]),
     ("联系人：亓岚栩。请找卓澄核对录音。由Zora Wexcombe复核。", [("name", "亓岚栩"), ("name", "卓澄"), ("name", "Zora Wexcombe")]),
     ("x\n--\nRavi GILDERMOND\n18 Old Kelp St\n+44 20 7946 0773\nr@example.net", [("name", "Ravi GILDERMOND"), ("address", "18 Old Kelp St"), ("phone", "+44 20 7946 0773"), ("email", "r@example.net")]),
