@@ -102,7 +102,7 @@ def assign(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 def balance(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """split_name, target_share, samples, share: what came out."""
     got = assigned.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("samples"))
-    total = got.agg(F.sum("samples").alias("total"))
-    return targets.select("split_name", "target_share").join(got, "split_name", "left").join(F.broadcast(total)).select(
-        "split_name", "target_share", F.coalesce("samples", F.lit(0)).alias("samples"), (F.coalesce("samples", F.lit(0)) / F.col("total")).alias("share")
+    total = float(got.agg(F.sum("samples")).first()[0] or 0)
+    return targets.select("split_name", "target_share").join(got, "split_name", "left").select(
+        "split_name", "target_share", F.coalesce("samples", F.lit(0)).alias("samples"), (F.coalesce("samples", F.lit(0)) / F.nullif(F.lit(total), F.lit(0.0))).alias("share")
     )
