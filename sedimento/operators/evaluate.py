@@ -42,8 +42,8 @@ def openset_metrics(counts: DataFrame) -> DataFrame:
     col = counts.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("p"))
     x = row.join(col, "label", "full").select("label", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("t", "tp", "p")])
     rec, pre = F.when(F.col("t") > 0, F.col("tp") / F.col("t")), F.when(F.col("p") > 0, F.col("tp") / F.col("p"))
-    last = x.agg(F.max("label").alias("last"))
-    x = x.join(F.broadcast(last)).withColumns({"rec": rec, "pre": pre, "known": F.col("label") < F.col("last")})  # one row joined
+    last = x.agg(F.max("label")).first()[0]
+    x = x.withColumns({"rec": rec, "pre": pre, "known": F.col("label") < F.lit(last)})
     kr = lambda c: F.sum(F.when(F.col("known"), F.coalesce(c, F.lit(0.0)))) / F.nullif(F.count_if("known"), F.lit(0))
     f1 = F.when(F.coalesce("rec", F.lit(0.0)) + F.coalesce("pre", F.lit(0.0)) > 0, 2 * F.col("rec") * F.col("pre") / (F.col("rec") + F.col("pre"))).otherwise(0.0)
     return x.agg(
