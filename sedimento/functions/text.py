@@ -16,6 +16,11 @@ TOKEN = r"[一-鿿]|[A-Za-z0-9_]+"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f mentions it (plain columns are copied into lambdas)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """One Chinese character or one ASCII word each; everything else is dropped."""
     return F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))
@@ -23,14 +28,14 @@ def tokens(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines as str.splitlines gives them: no empty one at the end."""
-    parts = F.split(c, LINE_BREAK)
-    return F.when(c == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(let(F.split(c, LINE_BREAK), whole))
 
 
 def first_spellings(units: Column) -> Column:
     """Units without later ones that are equal apart from case; order and first spelling are kept."""
-    keys = F.transform(units, lambda x: F.lower(x))
-    return F.filter(units, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    kept = lambda u: let(F.transform(u, lambda x: F.lower(x)), lambda k: F.filter(u, lambda x, i: F.array_position(k, F.lower(x)) == i + 1))
+    return let(units, kept)
 
 
 def squeeze(c: Column) -> Column:
@@ -40,7 +45,10 @@ def squeeze(c: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """The first suffix rule that fits a lower-cased ASCII token long enough for it."""
-    t = F.lower(c)
+    return let(F.lower(c), lambda t: _stem(t, c))
+
+
+def _stem(t: Column, c: Column) -> Column:
     cut = lambda n: F.substring(t, F.lit(1), F.length(t) - n)
     rule = lambda suffix, least: t.endswith(suffix) & (F.length(t) >= least)
     return (

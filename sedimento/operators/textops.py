@@ -16,40 +16,39 @@ def confidence(part: Column, whole: Column) -> Column:
     return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), part.cast("double") / F.greatest(whole, F.lit(1)).cast("double"))), 4)
 
 
-def _finding(df: DataFrame, changed: str, total: str) -> DataFrame:
-    found = df.where(F.col(changed) > 0)
-    return found.select("id", F.col(changed).cast("bigint").alias("changed"), F.col(total).cast("bigint").alias("total"), confidence(F.col(changed), F.col(total)).alias("confidence"), "cleaned")
+def _units(texts: DataFrame, units: Column, kept) -> DataFrame:
+    """id, t (units), k (what is kept of them), c (how many differ); the generator keeps each text from being cut up again for every use."""
+    both = T.let(units, lambda u: T.let(kept(u), lambda k: F.struct(F.size(u).alias("t"), k.alias("k"), F.size(F.filter(F.zip_with(u, k, lambda a, b: a != b), lambda y: y)).alias("c"))))
+    return texts.where("text is not null").select("id", F.inline(F.array(both)))
+
+
+def _finding(df: DataFrame, changed: Column, cleaned: Column) -> DataFrame:
+    found = df.select("id", "t", changed.alias("n"), "k").where("n > 0")
+    return found.select("id", F.col("n").cast("bigint").alias("changed"), F.col("t").cast("bigint").alias("total"), confidence(F.col("n"), F.col("t")).alias("confidence"), cleaned.alias("cleaned"))
 
 
 def dedup_lines(texts: DataFrame) -> DataFrame:
     """Repeated lines, apart from case; the cleaned text has the first spelling of each, all white space collapsed."""
-    x = texts.where("text is not null").select("id", F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda u: u != "").alias("u"))
-    x = x.select("id", "u", T.first_spellings(F.col("u")).alias("k"))
-    return _finding(x.select("id", (F.size("u") - F.size("k")).alias("n"), F.size("u").alias("t"), T.squeeze(F.array_join("k", "\n")).alias("cleaned")), "n", "t")
+    units = F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda u: u != "")
+    return _finding(_units(texts, units, T.first_spellings), F.expr("t - size(k)"), T.squeeze(F.array_join("k", "\n")))
 
 
 def dedup_tokens(texts: DataFrame) -> DataFrame:
     """Repeated tokens, apart from case; the cleaned text joins the first spelling of each with blanks."""
-    x = texts.where("text is not null").select("id", T.tokens(F.col("text")).alias("u"))
-    x = x.select("id", "u", F.array_distinct(F.transform("u", lambda t: F.lower(t))).alias("k"))
-    first = F.transform("k", lambda k: F.element_at("u", F.array_position(F.transform("u", lambda t: F.lower(t)), k).cast("int")))
-    return _finding(x.select("id", (F.size("u") - F.size("k")).alias("n"), F.size("u").alias("t"), F.array_join(first, " ").alias("cleaned")), "n", "t")
+    return _finding(_units(texts, T.tokens(F.col("text")), T.first_spellings), F.expr("t - size(k)"), F.array_join("k", " "))
 
 
 def remove_stop_words(texts: DataFrame, extra: str | list[str] = "") -> DataFrame:
     """Tokens that are stop words; `extra` words come as a list or with commas between them."""
     more = extra.split(",") if isinstance(extra, str) else extra
     words = F.array(*[F.lit(w) for w in dict.fromkeys([*T.STOP_WORDS, *[w.strip().lower() for w in more if w.strip()]])])
-    x = texts.where("text is not null").select("id", T.tokens(F.col("text")).alias("u"))
-    x = x.select("id", "u", F.filter("u", lambda t: ~F.array_contains(words, F.lower(t))).alias("k"))
-    return _finding(x.select("id", (F.size("u") - F.size("k")).alias("n"), F.size("u").alias("t"), F.array_join("k", " ").alias("cleaned")), "n", "t")
+    kept = lambda u: F.filter(u, lambda t: ~F.array_contains(words, F.lower(t)))
+    return _finding(_units(texts, T.tokens(F.col("text")), kept), F.expr("t - size(k)"), F.array_join("k", " "))
 
 
 def stem_tokens(texts: DataFrame) -> DataFrame:
     """Tokens that stemming or lower case changes."""
-    x = texts.where("text is not null").select("id", T.tokens(F.col("text")).alias("u")).select("id", "u", F.transform("u", T.stem).alias("k"))
-    changed = F.size(F.filter(F.zip_with("u", "k", lambda a, b: a != b), lambda y: y))
-    return _finding(x.select("id", changed.alias("n"), F.size("u").alias("t"), F.array_join("k", " ").alias("cleaned")), "n", "t")
+    return _finding(_units(texts, T.tokens(F.col("text")), lambda u: F.transform(u, T.stem)), F.col("c"), F.array_join("k", " "))
 
 
 def text_quality(texts: DataFrame, min_length: int = 200) -> DataFrame:
