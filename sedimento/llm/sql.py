@@ -58,4 +58,9 @@ SQL = {
     "p9_found": f"""
         with t as (select {_SOURCE} as source_name, sum({_TOKENS}) as n from documents group by 1)
         select m.source_name from mix_targets m left join t on t.source_name = m.source_name where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from t) / 2""",
+    "p4_report": f"""with {_SAMPLES}, {_SHORT} select modality, class_name, n::bigint as available, target_share * draw as wanted, min_rows::bigint as min_rows, least(n, greatest(min_rows, round_even(target_share * draw, 0)))::bigint as drawn, n < min_rows or n < target_share * draw as short from ct""",
 }
+# The report of leaks counts what p8_found gives.
+SQL["p8_report"] = f"""
+    with f as ({SQL["p8_found"].strip()}), c as (select item_id, count(*) as n from f group by 1)
+    select benchmark, split_name, count(*)::bigint as items, count(n)::bigint as leaked_items, coalesce(sum(n), 0)::bigint as document_hits from eval_items left join c using (item_id) group by 1, 2"""
