@@ -25,7 +25,7 @@ def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     p = _placed(spark, d, False)
-    return hierarchy.paths(p.where("parent is not null")).selectExpr("g as table_name", "node as node_id", "step", "ancestor as ancestor_id")
+    return hierarchy.paths(p).selectExpr("g as table_name", "node as node_id", "step", "ancestor as ancestor_id")
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

@@ -9,15 +9,18 @@ _ORPHANS = """
         union all select 'task_logs', 'task_id', c.id, task_id, c.created_at, p.id, gone, p.created_at from task_logs c left join pt p on p.id = task_id),
     k as (select table_name, field_name, id as record_id, case when pid is null then 'missing' when gone then 'deleted' when pts > ts then 'late' end as orphan_kind, ts from r where ref is not null and ref <> 0),
     f as (select table_name, field_name, record_id, orphan_kind, min(ts) as ts from k where orphan_kind is not null group by all)"""
+_LINEAGE = """
+    with recursive n as (select 'datasets' as t, id, parent_dataset_id as p from datasets union all select 'samples', id, source_sample_id from samples),
+    e as (select n.t, n.id, n.p from n where exists (select 1 from n m where m.t = n.t and m.id = n.p)),
+    w as (select t, id as node, id as cur, [id] as path, false as cyc from n where p is not null
+        union all select w.t, node, e.p, list_append(path, e.p), list_contains(path, e.p) from w join e on e.t = w.t and e.id = w.cur where not cyc),
+    x as (select t, node, arg_max(cur, len(path)) as cur, arg_max(path, len(path)) as path, bool_or(cyc) as cyc from w group by 1, 2)"""
 
 SQL = {
-    "p2_found": """
-        with recursive n as (select 'datasets' as t, id, parent_dataset_id as p from datasets union all select 'samples', id, source_sample_id from samples),
-        e as (select n.t, n.id, n.p from n where exists (select 1 from n m where m.t = n.t and m.id = n.p)),
-        w as (select t, id as node, id as cur, [id] as path, false as cyc from n where p is not null
-            union all select w.t, node, e.p, list_append(path, e.p), list_contains(path, e.p) from w join e on e.t = w.t and e.id = w.cur where not cyc),
-        x as (select t, node, arg_max(cur, len(path)) as cur, arg_max(path, len(path)) as path, bool_or(cyc) as cyc from w group by 1, 2)
-        select t as table_name, node as node_id, case when cyc then list_min(path[list_position(path, cur):]) else cur end as root_id, case when cyc then -1 else len(path) - 1 end::bigint as depth from x""",
+    "p2_found": f"""{_LINEAGE} select t as table_name, node as node_id, case when cyc then list_min(path[list_position(path, cur):]) else cur end as root_id, case when cyc then -1 else len(path) - 1 end::bigint as depth from x""",
+    "p2_paths": f"""{_LINEAGE}, l as (select t, node, path from x where not cyc union all select t, id, [id] from n where p is null), y as (select t, node, path, unnest(range(1, len(path) + 1)) as i from l) select t as table_name, node as node_id, (len(path) - i)::bigint as step, path[i] as ancestor_id from y""",
+    "p2_intervals": f"""{_LINEAGE}, l as (select t, node, path from x where not cyc union all select t, id, [id] from n where p is null), y as (select t, node, unnest(path) as a from l), z as (select t, a, count(*)::bigint as c from y group by 1, 2)
+        select l.t as table_name, node as node_id, path[-1] as root_id, (len(path) - 1)::bigint as depth, c as subtree_size from l join z on z.t = l.t and z.a = l.node""",
     "p5_found": f"with {_ORPHANS} select table_name, field_name, record_id, orphan_kind from f",
     "p5_report": f"with {_ORPHANS} select table_name, field_name, orphan_kind, strftime(ts, '%Y-%m') as period, count(*)::bigint as n from f group by all",
     "p6_found": f"""
