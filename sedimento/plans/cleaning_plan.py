@@ -97,7 +97,7 @@ def folder_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "samples")
-    return s.select("id", "dataset_id", reading.canonical_split(F.get(reading.labels(F.col("labels_json")), F.lit(0))["split"]).alias("split"))
+    return s.select("id", "dataset_id", reading.recorded_split(reading.labels(F.col("labels_json")), reading.fields(F.col("metadata_json"))).alias("split"))
 
 
 def manifest_split(spark: SparkSession, d: str) -> DataFrame:

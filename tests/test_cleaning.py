@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimento.operators import cleaning, generate, ranking, splits
+from sedimento.plans import cleaning_plan
 from sedimento.sources import files
 
 H = ["ab" * 32, "cd" * 32]
@@ -77,6 +78,16 @@ def test_splits(spark):
     assert {(r.line_number, r.class_id, r.class_name) for r in splits.label_lines(lines).collect()} == {(1, 7, "tire"), (8, 2, "")}
 
 
+def test_manifest_split_reads_every_record_and_the_metadata(spark, tmp_path):
+    rows = [
+        (1, 7, '[{"type":"fingerprint"},{"split":" TST "}]', None), (2, 7, '[{"split":"n/a"},{"split":"testing"}]', '{"split":"train"}'), (3, 7, "[]", '{"split":"test"}'),
+        (4, 7, '[{"split":"train"},{"split":"test"}]', '{"split":"test"}'), (5, 7, None, None), (6, 8, None, '{"split":"test"}'),
+    ]
+    spark.createDataFrame(rows, "id long, dataset_id long, labels_json string, metadata_json string").write.parquet(str(tmp_path / "samples.parquet"))
+    got = {r.id: r.role for r in cleaning_plan.manifest_split(spark, str(tmp_path)).collect()}
+    assert got == {1: "test", 2: "test", 3: "test", 4: "train", 5: "train", 6: "train"}
+
+
 def test_generation(spark):
     s = spark.createDataFrame([(5, "a.txt", "x y"), (3, "b.txt", None)], "id long, name string, text string")
     assert [(r.i, r.source_sample_id, r.name) for r in generate.copies(s, 3).orderBy("i").collect()] == [(0, 3, "b_copy_0000.txt"), (1, 5, "a_copy_0001.txt"), (2, 3, "b_copy_0002.txt")]
