@@ -7,12 +7,13 @@ without a finding gives none. Several operators are one plan: their suggestions
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimento.functions import reading
-from sedimento.operators import hamming, textops
+from sedimento.operators import hamming, pixels, textops
 from sedimento.operators.catalog import active_samples, operation
 from sedimento.operators.ranking import attach
 from sedimento.session import cut
@@ -35,15 +36,16 @@ def exact_duplicates(samples: DataFrame) -> DataFrame:
     return _shape(later.withColumns({"confidence": F.lit(1.0), "message": F.concat(F.lit("Same content as sample "), F.col("first").cast("string"))}), "duplicate", "delete", "first")
 
 
-def leaders(prints: DataFrame, max_bits: int) -> DataFrame:
+def leaders(prints: DataFrame, max_bits: int, width: int = hamming.BITS) -> DataFrame:
     """Greedy leader clustering: id, leader_id, bits of every fingerprint that is near an earlier leader.
 
-    prints: id, algo, f0, f1, f2. In order of id, a fingerprint joins the nearest earlier leader within max_bits (the
+    prints: id, algo, f0, f1, ... (as many as `width` bits take). In order of id, a fingerprint joins the nearest earlier leader within max_bits (the
     first of equally near ones), else it leads itself. The order-dependent loop is computed in rounds: a node whose
     earlier neighbours include a leader is no leader; a node whose earlier neighbours are all decided otherwise is one.
     """
-    nodes = cut(prints.groupBy("algo", "f0", "f1", "f2").agg(F.min("id").alias("node")))
-    pairs = hamming.near_pairs(nodes, nodes, max_bits, ["node"]).where("e_node > t_node").select(F.col("e_node").alias("late"), F.col("t_node").alias("early"), "bits")
+    value = ["algo", *hamming.words(width)]
+    nodes = cut(prints.groupBy(*value).agg(F.min("id").alias("node")))
+    pairs = hamming.near_pairs(nodes, nodes, max_bits, ["node"], width).where("e_node > t_node").select(F.col("e_node").alias("late"), F.col("t_node").alias("early"), "bits")
     pairs = cut(pairs)
     late = pairs.select(F.col("late").alias("node")).distinct()
     first = pairs.select(F.col("early").alias("node")).distinct().join(late, "node", "left_anti")
@@ -55,14 +57,26 @@ def leaders(prints: DataFrame, max_bits: int) -> DataFrame:
     led = pairs.join(state.where("s = 1").select(F.col("node").alias("early")), "early").join(state.where("s = 2").select(F.col("node").alias("late")), "late")
     near = led.groupBy(F.col("late").alias("node")).agg(F.min(F.struct("bits", "early")).alias("x")).select("node", "x.bits", F.col("x.early").alias("leader"))
     follow = nodes.join(near, "node", "left").withColumn("leader", F.coalesce("leader", "node")).withColumn("bits", F.coalesce("bits", F.lit(0)))
-    return prints.join(follow, ["algo", "f0", "f1", "f2"]).where("id <> leader").select("id", F.col("leader").alias("leader_id"), F.col("bits").cast("int").alias("bits"))
+    return prints.join(follow, value).where("id <> leader").select("id", F.col("leader").alias("leader_id"), F.col("bits").cast("int").alias("bits"))
 
 
-def near_duplicates(samples: DataFrame, max_bits: int = 10, min_confidence: float = 0.75) -> DataFrame:
-    """Samples whose fingerprint is near that of an earlier leader; confidence 1 - bits / 144, at least min_confidence."""
-    x = samples.select("id", F.explode(hamming.fingerprints(reading.labels(F.col("labels_json")))).alias("p")).select("id", "p.*")
-    found = leaders(x, max_bits).groupBy(F.col("id").alias("sample_id")).agg(F.min(F.struct("bits", "leader_id")).alias("x")).select("sample_id", "x.*")
-    conf = F.greatest(F.lit(min_confidence), F.least(F.lit(1.0), F.bround(1 - F.col("bits") / F.lit(float(hamming.BITS)), 4)))
+def near_duplicates(samples: DataFrame, max_bits: int = 10, min_confidence: float = 0.75, hash_size: int = 8) -> DataFrame:
+    """Samples whose fingerprint is near that of an earlier leader; confidence 1 - bits / width, at least min_confidence.
+
+    Fingerprints are those in the labels, of every width, each compared within its own; samples with a column `content`
+    are images, compared by their difference hashes of hash_size x hash_size bits.
+    """
+    if "content" in samples.columns:
+        width = hash_size * hash_size
+        x = cut(pixels.image_hashes(samples, hash_size))
+        groups = [(width, x.select("id", F.lit("dhash").alias("algo"), *hamming.packed(F.col("dhash"), width)))]
+    else:
+        x = cut(samples.select("id", F.explode(hamming.digit_values(reading.labels(F.col("labels_json")))).alias("p")).select("id", "p.*"))
+        sizes = sorted(r[0] for r in x.select(F.length("digits")).distinct().collect()) or [hamming.BITS // 4]  # at most len(DIGITS)
+        groups = [(4 * n, x.where(F.length("digits") == n).select("id", "algo", *hamming.packed(F.col("digits"), 4 * n))) for n in sizes]
+    every = [leaders(prints, max_bits, width).withColumn("width", F.lit(width)) for width, prints in groups]
+    found = reduce(DataFrame.unionByName, every).groupBy(F.col("id").alias("sample_id")).agg(F.min(F.struct("bits", "leader_id", "width")).alias("x")).select("sample_id", "x.*")
+    conf = F.greatest(F.lit(min_confidence), F.least(F.lit(1.0), F.bround(1 - F.col("bits") / F.col("width").cast("double"), 4)))
     return _shape(found.withColumns({"confidence": conf, "message": F.concat(F.lit("Near sample "), F.col("leader_id").cast("string"))}), "near_duplicate_image", "delete", "leader_id")
 
 

@@ -1,9 +1,11 @@
-"""Pairs of 144-bit fingerprints within a Hamming distance, exactly, without comparing all with all.
-
-A fingerprint is three longs of 48 bits (f0, f1, f2) with the name of its algorithm. It is cut into six blocks of 24
-bits: with at most 11 differing bits some block has at most one. The indexed side stores its six blocks; the probing
-side looks for each block as it is and with each bit turned (150 keys). A pair is kept only in the first block that
-finds it, so none comes twice, and every pair is verified.
+"""Pairs of fingerprints within a Hamming distance, exactly, without comparing all with all where the distance allows it.
+
+A fingerprint of any width is cut into longs of 48 bits (f0, f1, ..., the last holding the lowest bits) with the name of
+its algorithm. Its bits are dealt to b blocks: with at most 2 b - 1 differing bits some block has at most one. The indexed
+side stores its blocks; the probing side looks for each block as it is and with each bit turned (width + b keys; 144 bits
+and up to 11 differing ones give six blocks of 24 and 150 keys). A pair is kept only in the first block that finds it, so
+none comes twice, and every pair is verified. Where blocks would have fewer than 8 bits, nearly all pairs would meet in
+some block: then all pairs of an algorithm are compared, once.
 """
 
 from __future__ import annotations
@@ -13,50 +15,93 @@ from pyspark.sql import functions as F
 
 from sedimento.functions import reading
 
-BITS, BANDS, MAX_BITS = 144, 6, 11
-BAND_BITS = BITS // BANDS
-LOW = (1 << BAND_BITS) - 1
+BITS, WORD, BAND_BITS, LEAST_BAND, SALTS = 144, 48, 24, 8, 64
+# Hexadecimal digits of hashes of 4 x 4 to 16 x 16 bits.
+DIGITS = tuple(-(-n * n // 4) for n in range(4, 17))
 
 
-def fingerprints(label_records: Column) -> Column:
-    """array<struct<algo, f0, f1, f2>> from label records; values that aren't 36 hexadecimal digits are none."""
+def words(width: int) -> list[str]:
+    """The columns of a fingerprint of so many bits."""
+    return [f"f{k}" for k in range(-(-width // WORD))]
+
+
+def packed(digits: Column, width: int) -> list[Column]:
+    """The longs of a fingerprint in hexadecimal digits."""
+    names = words(width)
+    whole = F.lpad(digits, 12 * len(names), "0")
+    return [F.conv(F.substring(whole, 1 + 12 * k, 12), 16, 10).cast("long").alias(n) for k, n in enumerate(names)]
 
+
+def _read(label_records: Column, digits: tuple[int, ...], make) -> Column:
     def one(x: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(F.lower(x["value"]), "^\\s*0x", ""), "[^0-9a-z]", "")
-        part = lambda k: F.conv(F.substring(bare, 1 + 12 * k, 12), 16, 10).cast("long")
-        return F.when(bare.rlike("^[0-9a-f]{36}$"), F.struct(F.coalesce(F.lower(reading.strip(x["algo"])), F.lit("")).alias("algo"), *[part(k).alias(f"f{k}") for k in range(3)]))
+        return F.when(bare.rlike("^[0-9a-f]+$") & F.length(bare).isin(*digits), F.struct(F.coalesce(F.lower(reading.strip(x["algo"])), F.lit("")).alias("algo"), *make(bare)))
 
     return F.array_distinct(F.filter(F.transform(F.filter(label_records, lambda x: x["type"] == "fingerprint"), one), lambda x: x.isNotNull()))
 
 
-def _block(long: Column, k: int) -> Column:
-    """Block k of a fingerprint: the upper or lower 24 bits of long k // 2."""
-    return F.shiftright(long, BAND_BITS).cast("long") if k % 2 == 0 else long.bitwiseAND(F.lit(LOW))
+def fingerprints(label_records: Column) -> Column:
+    """array<struct<algo, f0, f1, f2>> from label records; values that aren't 36 hexadecimal digits are none."""
+    return _read(label_records, (BITS // 4,), lambda bare: packed(bare, BITS))
+
+
+def digit_values(label_records: Column) -> Column:
+    """array<struct<algo, digits>> from label records: hexadecimal values of as many digits as a hash of any size has."""
+    return _read(label_records, DIGITS, lambda bare: [bare.alias("digits")])
+
+
+def _bands(width: int, max_bits: int) -> list[list[tuple[int, list[int]]]]:
+    """Bits of each block as (word, bits in it); none if all pairs have to be compared."""
+    n = max(width // BAND_BITS, (max_bits + 2) // 2)
+    if width // n < LEAST_BAND and max_bits > 0:
+        return []
+    last, out = len(words(width)) - 1, []
+    for k in range(n):
+        parts: dict[int, list[int]] = {}
+        for p in range(k * width // n, (k + 1) * width // n):
+            parts.setdefault(last - p // WORD, []).append(p % WORD)
+        out.append(list(parts.items()))
+    return out
+
+
+def _mask(bits: list[int]) -> Column:
+    return F.lit(sum(1 << b for b in bits)).cast("long")
+
+
+def _key(values: list[Column], k: int) -> Column:
+    return F.struct(F.xxhash64(F.col("algo"), F.lit(k), *values).alias("key"), F.lit(k).alias("band"))
+
+
+def _blocks(band: list[tuple[int, list[int]]]) -> list[Column]:
+    return [F.col(f"f{w}").bitwiseAND(_mask(bits)) for w, bits in band]
 
 
-def _key(value: Column, k: int) -> Column:
-    return F.struct(F.xxhash64(F.col("algo"), F.lit(k), value).alias("key"), F.lit(k).alias("band"))
+def _probes(band: list[tuple[int, list[int]]], k: int) -> list[Column]:
+    """Arrays of keys of block k as it is and with each bit turned."""
+    values = _blocks(band)
 
+    def one(i: int, bits: list[int]) -> Column:
+        masks = F.array(*[F.lit(m).cast("long") for m in ([0] if i == 0 else []) + [1 << b for b in bits]])
+        return F.transform(masks, lambda m: _key([*values[:i], values[i].bitwiseXOR(m), *values[i + 1 :]], k))
 
-def _probes(turned: Column, k: int) -> Column:
-    block = _block(F.col(f"f{k // 2}"), k)
-    return F.transform(turned, lambda m: _key(block.bitwiseXOR(m.cast("long")), k))
+    return [one(i, bits) for i, (_, bits) in enumerate(band)]
 
 
-def near_pairs(probe: DataFrame, index: DataFrame, max_bits: int, both: list[str] | None = None) -> DataFrame:
-    """algo, e0..e2 (of probe), t0..t2 (of index), bits; columns named in `both` come as e_<c> and t_<c>.
+def near_pairs(probe: DataFrame, index: DataFrame, max_bits: int, both: list[str] | None = None, width: int = BITS) -> DataFrame:
+    """algo, e0, e1, ... (of probe), t0, t1, ... (of index), bits; columns named in `both` come as e_<c> and t_<c>.
 
-    Each side should hold distinct fingerprints. max_bits may be at most MAX_BITS.
+    Each side should hold distinct fingerprints of `width` bits.
     """
-    if max_bits > MAX_BITS:
-        raise ValueError(f"six blocks with one turned bit find up to {MAX_BITS} bits, not {max_bits}")
-    both = both or []
-    side = lambda df, s, keys: df.select(F.col("algo").alias(f"{s}_algo"), *[F.col(f"f{k}").alias(f"{s}{k}") for k in range(3)], *[F.col(c).alias(f"{s}_{c}") for c in both], F.explode(keys).alias("x"))
-    turned = F.array(F.lit(0), *[F.lit(1 << b) for b in range(BAND_BITS)])
-    e = side(probe, "e", F.concat(*[_probes(turned, k) for k in range(BANDS)])).select("*", "x.key", "x.band").drop("x")
-    t = side(index, "t", F.array(*[_key(_block(F.col(f"f{k // 2}"), k), k) for k in range(BANDS)])).select("*", "x.key", "x.band").drop("x")
-    diff = [F.col(f"e{k}").bitwiseXOR(F.col(f"t{k}")) for k in range(3)]
-    bits = F.bit_count(diff[0]) + F.bit_count(diff[1]) + F.bit_count(diff[2])
-    first = F.coalesce(*[F.when(F.bit_count(_block(diff[k // 2], k)) <= 1, F.lit(k)) for k in range(BANDS)])
-    kept = e.join(t, ["key", "band"]).where((F.col("e_algo") == F.col("t_algo")) & (bits <= max_bits) & (F.col("band") == first))
-    return kept.select(F.col("e_algo").alias("algo"), "e0", "e1", "e2", "t0", "t1", "t2", bits.alias("bits"), *[f"{s}_{c}" for s in "et" for c in both])
+    both, names, bands = both or [], words(width), _bands(width, max_bits)
+    if bands:
+        e_keys, t_keys = F.concat(*[a for k, b in enumerate(bands) for a in _probes(b, k)]), F.array(*[_key(_blocks(b), k) for k, b in enumerate(bands)])
+    else:
+        salted = lambda s: F.struct(F.xxhash64(F.col("algo"), s).alias("key"), F.lit(0).alias("band"))
+        e_keys, t_keys = F.array(salted(F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))), F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), salted)
+    side = lambda df, s, keys: df.select(F.col("algo").alias(f"{s}_algo"), *[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)], *[F.col(c).alias(f"{s}_{c}") for c in both], F.explode(keys).alias("x")).select("*", "x.key", "x.band").drop("x")
+    diff = [F.col(f"e{k}").bitwiseXOR(F.col(f"t{k}")) for k in range(len(names))]
+    total = lambda counts: sum(counts[1:], counts[0])
+    bits = total([F.bit_count(x) for x in diff])
+    first = F.coalesce(*[F.when(total([F.bit_count(diff[w].bitwiseAND(_mask(b))) for w, b in band]) <= 1, F.lit(k)) for k, band in enumerate(bands)]) if bands else F.lit(0)
+    kept = side(probe, "e", e_keys).join(side(index, "t", t_keys), ["key", "band"]).where((F.col("e_algo") == F.col("t_algo")) & (bits <= max_bits) & (F.col("band") == first))
+    return kept.select(F.col("e_algo").alias("algo"), *[f"{s}{k}" for s in "et" for k in range(len(names))], bits.alias("bits"), *[f"{s}_{c}" for s in "et" for c in both])

@@ -321,7 +321,7 @@ def image_hashes(files: DataFrame, size: int = 8) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, f"{difference_hash(x, size):0{size * size // 4}x}", f"{average_hash(x):016x}") for i, c in zip(b["id"], b["content"], strict=True) if (x := read_image(c)) is not None]
+            rows = [(i, f"{difference_hash(x, size):0{-(-size * size // 4)}x}", f"{average_hash(x):016x}") for i, c in zip(b["id"], b["content"], strict=True) if (x := read_image(c)) is not None]
             yield pd.DataFrame(rows, columns=["id", "dhash", "ahash"])
 
     return files.select("id", "content").mapInPandas(run, "id long, dhash string, ahash string")

@@ -166,7 +166,7 @@ def default_registry() -> Registry:
 
     r, P = Registry(), Parameter
     r.register(Operator("duplicate_detector", "cleaning", "multimodal", cleaning.exact_duplicates))
-    r.register(Operator("image_near_duplicate_detector", "cleaning", "image", cleaning.near_duplicates, (P("max_bits", "int", 10, 0, 11, aliases=("hamming_threshold",)), P("min_confidence", "float", 0.75, 0, 1))))
+    r.register(Operator("image_near_duplicate_detector", "cleaning", "image", cleaning.near_duplicates, (P("max_bits", "int", 10, 0, 64, aliases=("hamming_threshold",)), P("min_confidence", "float", 0.75, 0, 1), P("hash_size", "int", 8, 4, 16))))
     r.register(Operator("image_quality", "cleaning", "image", pixels.image_findings, (P("blur_below", "float", 100.0, 0, aliases=("blur_threshold",)), P("noise_above", "float", 12.0, 0, aliases=("noise_threshold",)), P("contrast_below", "float", 0.3, 0, 1))))
     r.register(Operator("audio_quality", "cleaning", "audio", sounds.audio_findings, (P("snr_threshold", "float", 18.0), P("target_peak", "float", 0.95, 0, 1), P("top_db", "float", 30.0, 0), P("silence_ratio_threshold", "float", 0.2, 0, 1))))
     r.register(Operator("text_deduplicate_line", "cleaning", "text", textops.dedup_lines))

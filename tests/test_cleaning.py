@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sedimento.operators import cleaning, generate, ranking, splits
 from sedimento.plans import cleaning_plan
+from sedimento.registry import default_registry
 from sedimento.sources import files
 
 H = ["ab" * 32, "cd" * 32]
@@ -43,6 +44,28 @@ def test_leaders_equal_the_greedy_loop(spark, seed):
     assert {x.id: (x.leader_id, x.bits) for x in cleaning.leaders(df, 8).collect()} == greedy(prints, 8)
 
 
+@pytest.mark.parametrize(("width", "most"), [(64, 6), (64, 20), (28, 0), (256, 40)])
+def test_leaders_of_any_width_and_threshold(spark, width, most):
+    r = random.Random(width + most)
+    base = [r.getrandbits(width) for _ in range(4)]
+    prints = [(i, base[r.randrange(4)] ^ sum(1 << k for k in r.sample(range(width), r.randrange(min(width, most + 3))))) for i in range(1, 60)]
+    prints = [(i, b) for i, b in prints if b not in {c for j, c in prints if j < i}]
+    rows = [(i, f'[{{"type":"fingerprint","algo":"d","value":"{b:0{width // 4}x}"}}]') for i, b in prints]
+    got = cleaning.near_duplicates(spark.createDataFrame(rows, "id long, labels_json string"), most, 0.0)
+    want = {i: (j, round(1 - d / width, 4)) for i, (j, d) in greedy(prints, most).items()}
+    assert {x.sample_id: (x.related_id, x.confidence) for x in got.collect()} == want and (want or not most)
+
+
+def test_images_are_near_duplicates_by_their_hashes(spark):
+    r = random.Random(5)
+    one, other = (bytes(r.randrange(256) for _ in range(400)) for _ in range(2))
+    images = [(i, b"P5 20 20 255\n" + x) for i, x in ((1, one), (2, other), (3, one[:-1] + bytes([one[-1] ^ 64])), (4, other))]
+    df = spark.createDataFrame(images, "id long, content binary")
+    for size in (5, 8, 16):
+        got = default_registry().run("image_near_duplicate_detector", df, hamming_threshold=6, hash_size=size)
+        assert {(x.sample_id, x.related_id) for x in got.collect()} == {(3, 1), (4, 2)}
+
+
 def test_store_and_monitor(spark):
     s = spark.createDataFrame([(1, "keep", "raw"), (2, "drop", "raw"), (3, "repair", "raw"), (4, "gone", "deleted"), (9, "fixed", "cleaned")], "id long, name string, status string")
     g = spark.createDataFrame(
