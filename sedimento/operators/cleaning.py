@@ -36,11 +36,11 @@ def exact_duplicates(samples: DataFrame) -> DataFrame:
     return _shape(later.withColumns({"confidence": F.lit(1.0), "message": F.concat(F.lit("Same content as sample "), F.col("first").cast("string"))}), "duplicate", "delete", "first")
 
 
-def leaders(prints: DataFrame, max_bits: int, width: int = hamming.BITS) -> DataFrame:
+def leaders(prints: DataFrame, max_bits: int, width: int = hamming.BITS, nearest: bool = True) -> DataFrame:
     """Greedy leader clustering: id, leader_id, bits of every fingerprint that is near an earlier leader.
 
     prints: id, algo, f0, f1, ... (as many as `width` bits take). In order of id, a fingerprint joins the nearest earlier leader within max_bits (the
-    first of equally near ones), else it leads itself. The order-dependent loop is computed in rounds: a node whose
+    first of equally near ones; with nearest=False the first of all), else it leads itself. The order-dependent loop is computed in rounds: a node whose
     earlier neighbours include a leader is no leader; a node whose earlier neighbours are all decided otherwise is one.
     """
     value = ["algo", *hamming.words(width)]
@@ -55,7 +55,8 @@ def leaders(prints: DataFrame, max_bits: int, width: int = hamming.BITS) -> Data
         now = F.when(F.col("s") != 0, F.col("s")).when(F.col("led") == 1, 2).when(F.col("free") == 1, 1).otherwise(0)
         state = cut(state.join(seen, "node", "left").select("node", now.alias("s")))
     led = pairs.join(state.where("s = 1").select(F.col("node").alias("early")), "early").join(state.where("s = 2").select(F.col("node").alias("late")), "late")
-    near = led.groupBy(F.col("late").alias("node")).agg(F.min(F.struct("bits", "early")).alias("x")).select("node", "x.bits", F.col("x.early").alias("leader"))
+    best = F.struct("bits", "early") if nearest else F.struct("early", "bits")
+    near = led.groupBy(F.col("late").alias("node")).agg(F.min(best).alias("x")).select("node", "x.bits", F.col("x.early").alias("leader"))
     follow = nodes.join(near, "node", "left").withColumn("leader", F.coalesce("leader", "node")).withColumn("bits", F.coalesce("bits", F.lit(0)))
     return prints.join(follow, value).where("id <> leader").select("id", F.col("leader").alias("leader_id"), F.col("bits").cast("int").alias("bits"))
 
@@ -80,6 +81,12 @@ def near_duplicates(samples: DataFrame, max_bits: int = 10, min_confidence: floa
     return _shape(found.withColumns({"confidence": conf, "message": F.concat(F.lit("Near sample "), F.col("leader_id").cast("string"))}), "near_duplicate_image", "delete", "leader_id")
 
 
+def average_hash_duplicates(files: DataFrame, threshold: int = 0) -> DataFrame:
+    """id, leader_id, bits of images (id, content) whose 64-bit average hash is within threshold (0..16) of a leader's: the first such one."""
+    x = cut(pixels.image_hashes(files))
+    return leaders(x.select("id", F.lit("ahash").alias("algo"), *hamming.packed(F.col("ahash"), 64)), max(0, min(16, threshold)), 64, nearest=False)
+
+
 def text_suggestions(texts: DataFrame) -> DataFrame:
     """Repeated lines, stop words and unstemmed tokens of texts (id, text), each as a suggestion to repair."""
     out = None

@@ -23,14 +23,16 @@ def near_dup_leaders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signs(spark: SparkSession, d: str) -> DataFrame:
-    """The sign bits of the first 62 components as one long: a stand-in for an 8 x 8 average hash."""
-    bits = F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.lit(0).cast("long"), lambda a, i: a * 2 + (F.element_at("embedding", i) > 0).cast("long"))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("bits"))
+    """The sign bits of all components: a stand-in for an 8 x 8 average hash; those of the first 62 as one long, bits."""
+    head = F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.lit(0).cast("long"), lambda a, i: a * 2 + (F.element_at("embedding", i) > 0).cast("long"))
+    rest = F.transform(F.slice("embedding", F.lit(63), F.greatest(F.size("embedding") - 62, F.lit(0))), lambda v: v > 0)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), head.alias("bits"), rest.alias("rest"))
 
 
 def ahash_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Copies agree in the signs of all components; bits shows those of the first 62."""
     x = _signs(spark, d)
-    return x.groupBy("bits").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("first", "bits", (F.col("n") - 1).alias("copies"))
+    return x.groupBy("bits", "rest").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("first", "bits", (F.col("n") - 1).alias("copies"))
 
 
 def text_suggestions(spark: SparkSession, d: str) -> DataFrame:

@@ -66,6 +66,16 @@ def test_images_are_near_duplicates_by_their_hashes(spark):
         assert {(x.sample_id, x.related_id) for x in got.collect()} == {(3, 1), (4, 2)}
 
 
+def test_average_hashes(spark, tmp_path, monkeypatch):
+    near = [[1.0] * 64, [1.0] * 63 + [-1.0], [1.0] * 64, [1.0] * 62 + [-1.0, 1.0]]
+    spark.createDataFrame(list(enumerate(near)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {(r.first, r.copies) for r in cleaning_plan.ahash_exact(spark, str(tmp_path)).collect()} == {(0, 1), (1, 0), (3, 0)}
+    hashes = [(1, "0" * 16), (2, "00000000000000ff"), (3, "000000000000003f"), (4, "000000000000000f"), (5, "0" * 16)]
+    monkeypatch.setattr(cleaning.pixels, "image_hashes", lambda f: spark.createDataFrame(hashes, "id long, ahash string"))
+    for most, want in ((0, {(5, 1, 0)}), (6, {(3, 1, 6), (4, 1, 4), (5, 1, 0)}), (16, {(2, 1, 8), (3, 1, 6), (4, 1, 4), (5, 1, 0)})):
+        assert {tuple(r) for r in cleaning.average_hash_duplicates(None, most).collect()} == want
+
+
 def test_store_and_monitor(spark):
     s = spark.createDataFrame([(1, "keep", "raw"), (2, "drop", "raw"), (3, "repair", "raw"), (4, "gone", "deleted"), (9, "fixed", "cleaned")], "id long, name string, status string")
     g = spark.createDataFrame(
