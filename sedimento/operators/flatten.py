@@ -49,39 +49,48 @@ def unfold(value: object) -> object:
 
 
 def walk(value: object, emit) -> None:
-    """Call emit(path, parent_path, field, position, depth, node, parent, body) for every object, children first."""
-
-    def visit(v: object, path: str, above: str, field: str, position: int | None, depth: int):
-        """Returns what stands for v in its parent's identity, and the rows that still need the parent's identity."""
-        if isinstance(v, str):
-            v = unfold(v)
-        if isinstance(v, dict):
-            flat, rows = {}, []
-            for k, x in v.items():
-                if type(x) in (int, float, bool) or x is None:
-                    flat[k] = x
-                else:
-                    flat[k], more = visit(x, f"{path}.{k}", path, k, None, depth + 1)
-                    rows += more
-            body = json.dumps(flat, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-            node = blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            for r in rows:
-                emit(*r, node)
-            return {"#": node.hex()}, [(path, above, field, position, depth, body, node)]
-        if isinstance(v, list):
-            items, rows = [], []
-            for i, x in enumerate(v):
-                if type(x) in (int, float, bool) or x is None:
-                    items.append(x)
-                else:
-                    s, more = visit(x, f"{path}[{i}]", above if depth else "$", field, i, depth)
-                    items.append(s)
-                    rows += more
-            return items, rows
-        return v, []
-
-    for r in visit(value, "$", "", "", None, 0)[1]:
-        emit(*r, None)
+    """Call emit(path, parent_path, field, position, depth, node, parent, body) for every object, children first.
+
+    The stack is explicit, so depth has no limit of its own, and nothing is emitted before the whole value is done.
+    """
+    done: list[tuple] = []
+
+    def opened(v: dict | list, key, path: str, above: str, field: str, position: int | None, depth: int) -> tuple:
+        """v with its parts to come, what stands for it in its parent's identity, and the rows that still need that identity."""
+        inside = isinstance(v, dict)
+        return iter(v.items() if inside else enumerate(v)), inside, {} if inside else [None] * len(v), [], key, path, above, field, position, depth
+
+    value = unfold(value)
+    if not isinstance(value, dict | list):
+        return
+    stack = [opened(value, None, "$", "", "", None, 0)]
+    while stack:
+        parts, inside, made, rows, key, path, above, field, position, depth = stack[-1]
+        for k, x in parts:
+            if type(x) in (int, float, bool) or x is None:
+                made[k] = x
+                continue
+            if isinstance(x, str):
+                x = unfold(x)
+            if not isinstance(x, dict | list):
+                made[k] = x
+                continue
+            stack.append(opened(x, k, f"{path}.{k}", path, k, None, depth + 1) if inside else opened(x, k, f"{path}[{k}]", above if depth else "$", field, k, depth))
+            break
+        else:
+            stack.pop()
+            if inside:
+                body = json.dumps(made, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+                node = blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                done += [(*r, node) for r in rows]
+                made, rows = {"#": node.hex()}, [(path, above, field, position, depth, body, node)]
+            if stack:
+                stack[-1][2][key] = made
+                stack[-1][3].extend(rows)
+            else:
+                done += [(*r, None) for r in rows]
+    for r in done:
+        emit(*r)
 
 
 def _flatten(batches: Iterator[pa.RecordBatch], lists: bool) -> Iterator[pa.RecordBatch]:
@@ -101,7 +110,7 @@ def _flatten(batches: Iterator[pa.RecordBatch], lists: bool) -> Iterator[pa.Reco
             if isinstance(value, dict | list):
                 try:
                     walk(value, emit)
-                except RecursionError:  # deeper than the parser's own limit
+                except RecursionError:  # the parser's own limit, met again in writing a body: nothing of the record is out yet
                     continue
             if len(cols[0]) >= BATCH:
                 yield _batch(cols, names)

@@ -55,3 +55,12 @@ def test_long_and_deep_and_empty(spark):
     out = N.bridge(frame(spark, [deep, long, "[" * 100_000])).groupBy("record_id").agg(F.count("*").alias("n")).collect()
     assert {x.record_id: x.n for x in out} == {1: 30_000}
     assert N.bridge(frame(spark, ["{}"]).where("false")).count() == 0
+
+
+def test_objects_deeper_than_the_interpreter_recurses(spark):
+    depth = 3000
+    deep = '{"a":' * depth + "1" + "}" * depth
+    rows = N.bridge(frame(spark, [deep, '{"z":[{"b":2},' + deep + "]}"], "result_json")).select("record_id", "node_id", "parent_id", "depth").collect()
+    assert sorted(r.depth for r in rows if r.record_id == 0) == list(range(depth)) and sum(r.record_id for r in rows) == depth + 2
+    ids = {bytes(r.node_id) for r in rows}
+    assert all(bytes(r.parent_id) in ids if r.depth else r.parent_id is None for r in rows)
