@@ -18,6 +18,7 @@ from sedimento.session import cut
 
 KEY = ["g", "node"]
 SIBLING_BUCKETS = 256
+PRE_RUN = 64
 
 
 def _subtree_sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -172,6 +173,20 @@ def descendants(placed: DataFrame) -> DataFrame:
     )
 
 
+def descendants_by_interval(placed: DataFrame) -> DataFrame:
+    """g, node, descendant: every proper descendant, from the preorder intervals (placed with intervals).
+
+    Intervals are looked up in runs of PRE_RUN places of their tree: at most one row for each run an interval touches, so
+    the work follows the result, not the square of a tree.
+    """
+    at = placed.where("depth >= 0").select("g", "root", "node", "pre", "size")
+    run = lambda c: F.floor(c / F.lit(PRE_RUN))
+    first, last = F.col("pre") + 1, F.col("pre") + F.col("size") - 1
+    above = at.where("size > 1").select("g", "root", "node", first.alias("first"), last.alias("last"), F.explode(F.sequence(run(first), run(last))).alias("run"))
+    below = at.select("g", "root", F.col("node").alias("descendant"), "pre", run(F.col("pre")).alias("run"))
+    return above.join(below, ["g", "root", "run"]).where("pre between first and last").select("g", "node", "descendant")
+
+
 def catalog_links(datasets: DataFrame, samples: DataFrame) -> DataFrame:
     """The two lineage tables of the catalog as one forest input."""
     return datasets.select(F.lit("datasets").alias("g"), F.col("id").alias("node"), F.col("parent_dataset_id").alias("parent")).unionByName(

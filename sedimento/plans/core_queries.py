@@ -28,6 +28,10 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.paths(p).selectExpr("g as table_name", "node as node_id", "step", "ancestor as ancestor_id")
 
 
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants_by_interval(_placed(spark, d, True)).selectExpr("g as table_name", "node as node_id", "descendant as descendant_id")
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.catalog_orphans(*[table(spark, d, n) for n in ("samples", "datasets", "tasks", "cleaning_suggestions", "task_logs")])
 
@@ -52,4 +56,4 @@ def p6_objects(spark: SparkSession, d: str) -> DataFrame:
     return flatten.objects(_bridge(spark, d)).selectExpr("hex(node_id) as node_id", "body", "occurrences")
 
 
-QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **cleaning_plan.QUERIES, **text_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p5_found, p5_report, p6_found, p6_objects)}
+QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **cleaning_plan.QUERIES, **text_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p2_descendants, p5_found, p5_report, p6_found, p6_objects)}

@@ -19,6 +19,7 @@ _LINEAGE = """
 SQL = {
     "p2_found": f"""{_LINEAGE} select t as table_name, node as node_id, case when cyc then list_min(path[list_position(path, cur):]) else cur end as root_id, case when cyc then -1 else len(path) - 1 end::bigint as depth from x""",
     "p2_paths": f"""{_LINEAGE}, l as (select t, node, path from x where not cyc union all select t, id, [id] from n where p is null), y as (select t, node, path, unnest(range(1, len(path) + 1)) as i from l) select t as table_name, node as node_id, (len(path) - i)::bigint as step, path[i] as ancestor_id from y""",
+    "p2_descendants": f"""{_LINEAGE}, y as (select t, node, unnest(path) as a from x where not cyc) select t as table_name, a as node_id, node as descendant_id from y where a <> node""",
     "p2_intervals": f"""{_LINEAGE}, l as (select t, node, path from x where not cyc union all select t, id, [id] from n where p is null), y as (select t, node, unnest(path) as a from l), z as (select t, a, count(*)::bigint as c from y group by 1, 2)
         select l.t as table_name, node as node_id, path[-1] as root_id, (len(path) - 1)::bigint as depth, c as subtree_size from l join z on z.t = l.t and z.a = l.node""",
     "p5_found": f"with {_ORPHANS} select table_name, field_name, record_id, orphan_kind from f",

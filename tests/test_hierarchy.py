@@ -55,6 +55,14 @@ def test_paths_and_descendants(spark):
     assert {(x.node, x.root, x.depth) for x in placed.where("depth < 0").collect()} == {(8, 8, -1), (9, 8, -1)}
 
 
+def test_descendants_by_interval(spark):
+    r = random.Random(3)
+    links = [(i, None if i % 200 == 1 else r.randrange((i - 1) // 200 * 200 + 1, i)) for i in range(1, 401)] + [(500, 501), (501, 500)]
+    placed = H.hierarchy(frame(spark, links))
+    rows = [(x.node, x.descendant) for x in H.descendants_by_interval(placed).collect()]
+    assert len(rows) == len(set(rows)) > 400 and set(rows) == {(x.node, x.descendant) for x in H.descendants(placed).collect()}
+
+
 def test_long_chain_star_and_tail_into_a_cycle(spark):
     chain = [(i, i - 1 if i > 1 else None) for i in range(1, 301)]
     star = [(1000 + i, 1) for i in range(200)]
