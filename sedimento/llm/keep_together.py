@@ -15,6 +15,7 @@ from sedimento.functions import reading
 from sedimento.session import cut
 
 HOT_ROWS = 200_000
+MAX_SPLITS = 1000
 
 
 def lookup(rows: DataFrame, values: DataFrame, key: str, heavy: DataFrame | None = None) -> DataFrame:
@@ -87,7 +88,9 @@ def assign(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     split. Adding a split or changing a share moves only as many groups as it must. Targets that are null or not above
     zero get nothing.
     """
-    wanted = [(r["split_name"], float(r["target_share"])) for r in targets.where("split_name is not null and target_share > 0").limit(1000).collect()]
+    wanted = [(r["split_name"], float(r["target_share"])) for r in targets.where("split_name is not null and target_share > 0").limit(MAX_SPLITS + 1).collect()]
+    if len(wanted) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
     if not wanted:
         raise ValueError("no split has a positive share")
     every = samples.where("id is not null").select("id").distinct().join(grouped(samples), "id", "left").withColumn("group_id", F.coalesce("component", "id"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAIL, ALPHA, UNKNOWN_BELOW = 20, 2, 0.5
+MAX_METRICS = 1000
 
 
 def sample_ratio(baseline: int, target: int) -> dict[str, float]:
@@ -60,7 +61,7 @@ def openset_labels(labels: DataFrame, baseline: DataFrame, known: int) -> DataFr
     from pyspark.sql import Window
 
     classes = baseline.where("label is not null").select("label").distinct().withColumn("k", F.row_number().over(Window.orderBy("label")) - 1)
-    return labels.join(F.broadcast(classes.limit(100_000)), "label").select("id", F.least("k", F.lit(known)).cast("int").alias("class_id"))
+    return labels.join(F.broadcast(classes), "label").select("id", F.least("k", F.lit(known)).cast("int").alias("class_id"))
 
 
 def metric_compare(baseline: DataFrame, enhanced: DataFrame) -> DataFrame:
@@ -71,7 +72,9 @@ def metric_compare(baseline: DataFrame, enhanced: DataFrame) -> DataFrame:
 
 def comparison_report(compared: DataFrame) -> str:
     """Lines for each metric and a verdict: clearly better above 5 per cent on average, better above 0, else not better."""
-    rows = compared.orderBy("metric").limit(1000).collect()  # metrics are few
+    rows = compared.orderBy("metric").limit(MAX_METRICS + 1).collect()
+    if len(rows) > MAX_METRICS:
+        raise ValueError(f"more than {MAX_METRICS} metrics")
     mean = sum(r["improvement"] for r in rows) / len(rows) if rows else 0.0
     verdict = "clearly better" if mean > 5 else "better" if mean > 0 else "not better"
     return "\n".join([*(f"{r['metric']}: {r['baseline']:.4f} -> {r['enhanced']:.4f} ({r['improvement']:+.2f} %)" for r in rows), f"mean improvement {mean:+.2f} %: {verdict}"])

@@ -38,11 +38,16 @@ def _plain(path: Column) -> Column:
 
 
 def scan_folder(spark: SparkSession, root: str, recursive: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row for each file below root but the control files; class_name is the first folder, null in the root itself."""
+    """One row for each file below root but the control files; class_name is the first folder, null in the root itself.
+
+    Files above max_bytes are an error.
+    """
     base = os.path.abspath(root).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
     rel = F.substring(_plain(F.col("path")), F.lit(len(base) + 2), F.lit(1 << 20))
-    x = files.where((F.col("length") <= max_bytes)).select(rel.alias("relative_path"), _plain(F.col("path")).alias("file_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    if too_large := [r[0] for r in files.where(F.col("length") > max_bytes).select("path").limit(10).collect()]:
+        raise ValueError(f"files above {max_bytes} bytes: {too_large}")
+    x = files.select(rel.alias("relative_path"), _plain(F.col("path")).alias("file_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
     x = x.withColumn("name", F.element_at(F.split("relative_path", "/"), -1)).where(~F.col("name").isin(*CONTROL_FILES))
     return x.select("name", "relative_path", "file_path", extension(F.col("name")).alias("extension"), mime(F.col("name")).alias("mime_type"), "size_bytes", "sha256", F.when(F.instr("relative_path", "/") > 0, F.split("relative_path", "/")[0]).alias("class_name"))
 

@@ -4,7 +4,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sedimento.operators import cleaning, generate, ranking, splits
+from sedimento.llm import keep_together
+from sedimento.operators import cleaning, evaluate, generate, ranking, splits
 from sedimento.plans import cleaning_plan
 from sedimento.registry import default_registry
 from sedimento.sources import files
@@ -157,3 +158,15 @@ def test_streams(spark, tmp_path):
     stream = arrivals.read_stream(spark, str(tmp_path / "in"), s)
     arrivals.suggest_on_arrival(stream, str(tmp_path / "out"), cleaning.exact_duplicates, f"t{tmp_path.name}").awaitTermination()
     assert [r.sample_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_bounds_are_errors_or_absent(spark, tmp_path):
+    many = spark.range(100_003).select("id", F.col("id").alias("label"))
+    assert evaluate.openset_labels(many, many, 5).count() == 100_003
+    with pytest.raises(ValueError, match="metrics"):
+        evaluate.comparison_report(spark.range(1001).selectExpr("string(id) as metric", "1d as baseline", "2d as enhanced", "100d as improvement"))
+    with pytest.raises(ValueError, match="splits"):
+        keep_together.assign(None, spark.range(1001).selectExpr("string(id) as split_name", "1d as target_share"))
+    (tmp_path / "big.txt").write_text("hello")
+    with pytest.raises(ValueError, match="big.txt"):
+        files.scan_folder(spark, str(tmp_path), max_bytes=4)
