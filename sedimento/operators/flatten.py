@@ -9,6 +9,7 @@ the distinct objects are shuffled, after combining on the map side.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -17,7 +18,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BRIDGE = "table_name string, column_name string, record_id long, path string, parent_path string, field string, position int, depth int, node_id binary, parent_id binary, body string"
-BATCH = 20_000
+BATCH_CHARS = 8_000_000
+
+
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+_DECODER = json.JSONDecoder(parse_constant=_refuse)
+_TOKEN = re.compile(r'[ \t\n\r]*([{}\[\],"]|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)', re.A)
+_COLON, _BLANK = re.compile(r"[ \t\n\r]*:"), re.compile(r"[ \t\n\r]*\Z")
+
+
+def loads(text: str) -> object:
+    """The value of a JSON text of any depth. A byte-order mark is skipped; NaN and infinities aren't JSON."""
+    text = text.removeprefix("\ufeff")
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _deep(text)
+
+
+def _deep(text: str) -> object:
+    """The same with a stack of its own, for texts nested deeper than the decoder may call itself."""
+    root, stack, key, want, at = None, [], None, "value", 0
+    while True:
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        t, at = m[1], m.end()
+        if want.startswith("key") and t == '"':
+            key, at = json.decoder.scanstring(text, at, True)
+            m = _COLON.match(text, at)
+            if not m:
+                raise ValueError(f"no colon at {at}")
+            at, want = m.end(), "value"
+            continue
+        if t == ",":
+            if want != "next":
+                raise ValueError(f"a comma at {at}")
+            want = "value" if isinstance(stack[-1], list) else "key"
+            continue
+        if t in ("]", "}"):
+            if want not in ("next", "key or end", "value or end") or not isinstance(stack[-1], list if t == "]" else dict):
+                raise ValueError(f"an end at {at}")
+            stack.pop()
+            want = "next"
+        else:
+            if not want.startswith("value"):
+                raise ValueError(f"a value at {at}")
+            if t == '"':
+                v, at = json.decoder.scanstring(text, at, True)
+            else:
+                v = {} if t == "{" else [] if t == "[" else json.loads(t)
+            if not stack:
+                root = v
+            elif isinstance(stack[-1], list):
+                stack[-1].append(v)
+            else:
+                stack[-1][key] = v
+            want = "next"
+            if t in ("[", "{"):
+                stack.append(v)
+                want = "value or end" if t == "[" else "key or end"
+        if not stack:
+            if not _BLANK.match(text, at):
+                raise ValueError(f"more text at {at}")
+            return root
+
+
+class _Text(str):
+    """Written as it stands."""
+
+
+def _canonical(value: object) -> str:
+    """JSON with sorted keys and no blanks, of any depth."""
+    try:
+        return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        pass
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Text):
+            out.append(v)
+        elif isinstance(v, list | dict):
+            parts: list = []
+            for x in sorted(v.items()) if isinstance(v, dict) else v:
+                parts += [_Text("," if parts else ""), *((_Text(json.dumps(x[0], ensure_ascii=False) + ":"), x[1]) if isinstance(v, dict) else (x,))]
+            todo += reversed([_Text("[" if isinstance(v, list) else "{"), *parts, _Text("]" if isinstance(v, list) else "}")])
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
 
 
 def parse(text: str | None) -> object:
@@ -25,8 +117,8 @@ def parse(text: str | None) -> object:
     if text is None:
         return None
     try:
-        return unfold(json.loads(text))
-    except (ValueError, RecursionError):
+        return unfold(loads(text))
+    except ValueError:
         return None
 
 
@@ -37,8 +129,8 @@ def unfold(value: object) -> object:
         if head not in ("{", "[", '"') or not head:
             return value
         try:
-            inner = json.loads(value)
-        except (ValueError, RecursionError):
+            inner = loads(value)
+        except ValueError:
             return value
         if not isinstance(inner, dict | list | str):
             return value
@@ -48,10 +140,10 @@ def unfold(value: object) -> object:
     return value
 
 
-def walk(value: object, emit) -> None:
-    """Call emit(path, parent_path, field, position, depth, node, parent, body) for every object, children first.
+def walk(value: object) -> list[tuple]:
+    """(path, parent_path, field, position, depth, body, node, parent) of every object, children first.
 
-    The stack is explicit, so depth has no limit of its own, and nothing is emitted before the whole value is done.
+    The stack is explicit, so depth has no limit, and a record gives all its rows or none.
     """
     done: list[tuple] = []
 
@@ -62,7 +154,7 @@ def walk(value: object, emit) -> None:
 
     value = unfold(value)
     if not isinstance(value, dict | list):
-        return
+        return []
     stack = [opened(value, None, "$", "", "", None, 0)]
     while stack:
         parts, inside, made, rows, key, path, above, field, position, depth = stack[-1]
@@ -80,7 +172,7 @@ def walk(value: object, emit) -> None:
         else:
             stack.pop()
             if inside:
-                body = json.dumps(made, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+                body = _canonical(made)
                 node = blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 done += [(*r, node) for r in rows]
                 made, rows = {"#": node.hex()}, [(path, above, field, position, depth, body, node)]
@@ -89,35 +181,27 @@ def walk(value: object, emit) -> None:
                 stack[-1][3].extend(rows)
             else:
                 done += [(*r, None) for r in rows]
-    for r in done:
-        emit(*r)
+    return done
 
 
 def _flatten(batches: Iterator[pa.RecordBatch], lists: bool) -> Iterator[pa.RecordBatch]:
     names = [f.split(" ")[0] for f in BRIDGE.split(", ")]
+    cols: list[list] = [[] for _ in names]
+    size = 0
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
-        table = column = record = None
-
-        def emit(path, above, field, position, depth, body, node, parent):
-            for c, x in zip(cols, (table, column, record, path, above, field, position, depth, node, parent, body), strict=True):
-                c.append(x)
-
         for table, column, record, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
             value = parse(text)
             if isinstance(value, dict) and column == "labels_json" and lists:
                 value = [value]
-            if isinstance(value, dict | list):
-                try:
-                    walk(value, emit)
-                except RecursionError:  # the parser's own limit, met again in writing a body: nothing of the record is out yet
-                    continue
-            if len(cols[0]) >= BATCH:
-                yield _batch(cols, names)
-                for c in cols:
-                    c.clear()
-        if cols[0]:
-            yield _batch(cols, names)
+            for path, above, field, position, depth, body, node, parent in walk(value):
+                for c, x in zip(cols, (table, column, record, path, above, field, position, depth, node, parent, body), strict=True):
+                    c.append(x)
+                size += 100 + len(path) + len(above) + len(body)
+                if size >= BATCH_CHARS:
+                    yield _batch(cols, names)
+                    cols, size = [[] for _ in names], 0
+    if cols[0]:
+        yield _batch(cols, names)
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -128,14 +212,15 @@ def _batch(cols: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def bridge(records: DataFrame, lone_label_lists: bool = True) -> DataFrame:
+def bridge(records: DataFrame, lone_label_lists: bool = False) -> DataFrame:
     """One row for each occurrence of an object: where it stands and what it is.
 
     records: table_name, column_name, record_id, text. Columns of the result as in BRIDGE: `position` is the index in
     the array that holds the object (null outside arrays), `field` the key it stands under, `node_id` its identity,
     `parent_id` that of the object around it (null at the root), `body` its canonical content with inner objects as
-    {"#": identity}. Null, blank or broken texts and texts that hold no object give no rows; a lone label object in
-    `labels_json` is read as a list of one. Strings that hold an object or array are read as such at any depth.
+    {"#": identity}. Null, blank or broken texts and texts that hold no object give no rows. Strings that hold an object
+    or array are read as such at any depth. Places are those of the text as it stands: a lone label object is `$`, and
+    only with lone_label_lists the first element of a list of one (`$[0]`).
     """
     plain = records.select("table_name", "column_name", "record_id", "text").where("text is not null")
     return plain.mapInArrow(lambda it: _flatten(it, lone_label_lists), BRIDGE)
@@ -146,6 +231,33 @@ def objects(bridged: DataFrame) -> DataFrame:
     return bridged.groupBy("node_id").agg(F.first("body").alias("body"), F.count("*").alias("occurrences"))
 
 
+def flat_table(bridged: DataFrame, table_name: str, column_name: str, place: str) -> DataFrame:
+    """A typed table of the objects that stand at one place of a column, such as `$[].regions[]` or `$.capture.device`.
+
+    record_id, path, parent_path, position, node_id name the row, its parent row and its place there; then come the
+    object's own values, typed by the schema of all of them (arrays of values stay arrays, inner objects are rows of
+    their own place). A value's column whose name clashes with these gets a trailing underscore. No such objects: none
+    but the five columns.
+    """
+    here = bridged.where((F.col("table_name") == table_name) & (F.col("column_name") == column_name) & (F.regexp_replace("path", r"\[\d+\]", "[]") == place))
+    bodies = here.groupBy("node_id").agg(F.first("body").alias("body"))  # equal objects are read once
+    schema = bodies.agg(F.schema_of_variant_agg(F.try_parse_json("body"))).first()[0]
+    keys = ["record_id", "path", "parent_path", "position", "node_id"]
+    if not schema or not schema.startswith("OBJECT<"):
+        return here.select(*keys)
+    typed = bodies.select("node_id", F.from_json("body", schema.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")).alias("o"))
+    fields = [f for f in typed.schema["o"].dataType.fields if not _inner(f.dataType)]
+    own = typed.select("node_id", *[F.col("o")[f.name].alias(f"{f.name}_" if f.name in keys else f.name) for f in fields])
+    return here.select(*keys).join(own, "node_id").select(*keys, *[c for c in own.columns if c not in keys])
+
+
+def _inner(kind) -> bool:
+    """Whether values of this type are references to objects of their own."""
+    while hasattr(kind, "elementType"):
+        kind = kind.elementType
+    return hasattr(kind, "fieldNames") and kind.fieldNames() == ["#"]
+
+
 def catalog_records(samples: DataFrame, algorithms: DataFrame, tasks: DataFrame) -> DataFrame:
     """The four nested columns of the catalog in one shape."""
     out = None

@@ -1,8 +1,8 @@
 """References to records that do not exist, are deleted, or arrive later.
 
 Parents are cut into ranges of RANGE_WIDTH keys and kept as one sorted array a range; batches of references are probed
-by binary search. A range that receives more than its share of references (a hot parent) is split: its references are
-spread over salts and its bounded array is copied to each.
+by binary search. A range with more than refs_a_task references (a hot parent) is split: its references are spread over
+parts and its bounded array is copied to each. Which ranges are hot is a small joined frame, not a condition in the plan.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimento.operators.ranking import HOT_ROWS, copied, hot_keys, salted
+
 RANGE_WIDTH = 16_384
-REFS_A_TASK = 200_000
 KINDS = ("missing", "deleted", "late")
 
 
@@ -48,7 +49,7 @@ def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
     return pa.table({"rel": part["rel"], "record_id": part["record_id"], "at": part["at"], "kind": pa.array(kind[bad].astype("int32"))})
 
 
-def orphans(references: list[Reference], parents: dict[str, DataFrame]) -> DataFrame:
+def orphans(references: list[Reference], parents: dict[str, DataFrame], refs_a_task: int = HOT_ROWS) -> DataFrame:
     """table_name, field_name, record_id, orphan_kind, at: references that do not hold.
 
     Null and 0 are no reference. Kinds, first that applies: `missing` (no row has that id), `deleted`, `late` (the
@@ -73,14 +74,10 @@ def orphans(references: list[Reference], parents: dict[str, DataFrame]) -> DataF
         refs = one if refs is None else refs.unionByName(one)
     span = lambda c: F.shiftright(F.col(c), RANGE_WIDTH.bit_length() - 1)
     refs, keys = refs.withColumn("span", span("ref")), keys.withColumn("span", span("id"))
-    # At most (number of references / REFS_A_TASK) ranges can be hot: a bounded list.
-    hot = {(x["side"], x["span"]): -(-x["n"] // REFS_A_TASK) for x in refs.groupBy("side", "span").agg(F.count("*").alias("n")).where(F.col("n") > REFS_A_TASK).collect()}
-    salts = F.lit(1)
-    for (side, at), n in hot.items():
-        salts = F.when((F.col("side") == side) & (F.col("span") == at), n).otherwise(salts)
-    refs = refs.withColumn("salt", F.pmod(F.xxhash64("record_id"), salts).cast("int"))
-    keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    by = ["side", "span", "salt"]
+    place = ["side", "span"]
+    hot = hot_keys(refs, place, refs_a_task)
+    refs, keys = salted(refs, hot, place, "record_id"), copied(keys, hot, place)
+    by = [*place, "salt__"]
     bad = refs.groupBy(*by).cogroup(keys.groupBy(*by)).applyInArrow(_probe, "rel int, record_id long, at long, kind int")
     label = lambda what: F.element_at(F.array(*[F.lit(x) for x in what]), F.col("rel") + 1)
     return bad.groupBy("rel", "record_id", "kind").agg(F.min("at").alias("at")).select(

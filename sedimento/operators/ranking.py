@@ -7,7 +7,34 @@ from pyspark.sql import functions as F
 
 from sedimento.session import cut
 
-SALTS = 16
+HOT_ROWS = 200_000
+MAX_HOT = 100_000
+
+
+def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS) -> DataFrame | None:
+    """keys, parts__: keys with more than `least` rows and into how many parts to cut them; None if there are none.
+
+    Only the MAX_HOT largest are taken, so the list can be broadcast at any size of the data; as there are at most MAX_HOT
+    keys with more than rows / MAX_HOT rows, every key left out has at most max(least, rows / MAX_HOT).
+    """
+    top = rows.groupBy(*keys).agg(F.count("*").alias("n__")).where(F.col("n__") > least).orderBy(F.desc("n__"), *keys).limit(MAX_HOT)
+    top = top.select(*keys, F.ceil(F.col("n__") / least).cast("int").alias("parts__"))
+    found = top.collect()
+    return rows.sparkSession.createDataFrame(found, top.schema) if found else None
+
+
+def salted(rows: DataFrame, hot: DataFrame | None, keys: list[str], row_id: str) -> DataFrame:
+    """rows with salt__: 0, but for hot keys a part of the key, chosen by row_id."""
+    if hot is None:
+        return rows.withColumn("salt__", F.lit(0))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("salt__", F.pmod(F.xxhash64(row_id), F.coalesce("parts__", F.lit(1))).cast("int")).drop("parts__")
+
+
+def copied(groups: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
+    """groups with salt__: once for each part of its key; keys that aren't hot stay as they are."""
+    if hot is None:
+        return groups.withColumn("salt__", F.lit(0))
+    return groups.join(F.broadcast(hot), keys, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce("parts__", F.lit(1)) - 1))).drop("parts__")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -31,7 +58,7 @@ def numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return inside.join(counts, on).withColumn("rn", F.col("before__") + F.col("in__")).drop("before__", "in__", "pid__", *[f"{c}__r" for c in g])
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, row_id: str, salts: int = SALTS) -> DataFrame:
-    """Inner join of rows with groups (one row a key), the rows of a key spread over salts."""
-    many = groups.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt__", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).join(many, [key, "salt__"]).drop("salt__")
+def attach(rows: DataFrame, groups: DataFrame, key: str, row_id: str, least: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows with groups (one row a key); only keys with more than `least` rows are spread over parts."""
+    hot = hot_keys(rows, [key], least)
+    return salted(rows, hot, [key], row_id).join(copied(groups, hot, [key]), [key, "salt__"]).drop("salt__")

@@ -27,7 +27,7 @@ SQL = {
     "p6_found": f"""
         with c as (select 'samples' as table_name, 'labels_json' as column_name, id, {_READ.format("labels_json")} as j from samples union all select 'samples', 'metadata_json', id, {_READ.format("metadata_json")} from samples
             union all select 'algorithms', 'input_contract_json', id, {_READ.format("input_contract_json")} from algorithms union all select 'tasks', 'result_json', id, {_READ.format("result_json")} from tasks),
-        d as (select table_name, column_name, id, case when column_name = 'labels_json' and json_type(j) = 'OBJECT' then json_array(j) else j end as j from c where j is not null),
+        d as (select table_name, column_name, id, j from c where j is not null),
         a as (select d.table_name, d.column_name, d.id, k.fullkey as path, k.type, json_extract_string(k.atom, '$') as s from d, json_tree(d.j) k),
         b as (select a.table_name, a.column_name, a.id, a.path || substr(k.fullkey, 2) as path, k.type from a, json_tree(case when a.type = 'VARCHAR' and left(ltrim(s), 1) in ('[', '{{') and json_valid(s) then s::json else 'null'::json end) k where a.type = 'VARCHAR' and left(ltrim(s), 1) in ('[', '{{') and json_valid(s))
         select table_name, column_name, id as record_id, path from a where type = 'OBJECT' and path like '%]' union all select table_name, column_name, id, path from b where type = 'OBJECT' and path like '%]'""",

@@ -13,12 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one is made only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a session on one machine (tests) gets a temporary folder; on a cluster that is an error, as a
+    machine's own folder is lost with it.
+    """
     sc = spark.sparkContext
     now = sc.getCheckpointDir()
     if now is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        now = named or f"file://{tempfile.mkdtemp(prefix='sedimento-')}"
+        now = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if now is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            now = f"file://{tempfile.mkdtemp(prefix='sedimento-')}"
         sc.setCheckpointDir(now)
     return now
 

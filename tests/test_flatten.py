@@ -13,7 +13,37 @@ def frame(spark, texts, column="labels_json"):
 def test_reading_rules(spark):
     texts = ['[{"a":1}]', '{"a":1}', json.dumps('[{"a": {"b": [{"c": 1}, 2, {"c": 1}]}}]'), None, "", '[{"a"', "null", '["{\\"x\\": [{}]}", "[1", "y"]', '[[{"z": null}], []]', "3", '"text"']
     got = {(x.record_id, x.path) for x in N.bridge(frame(spark, texts)).where("position is not null").collect()}
-    assert got == {(0, "$[0]"), (1, "$[0]"), (2, "$[0]"), (2, "$[0].a.b[0]"), (2, "$[0].a.b[2]"), (7, "$[0]"), (7, "$[0].x[0]"), (8, "$[0][0]")}
+    assert got == {(0, "$[0]"), (2, "$[0]"), (2, "$[0].a.b[0]"), (2, "$[0].a.b[2]"), (7, "$[0]"), (7, "$[0].x[0]"), (8, "$[0][0]")}
+
+
+def test_lone_label_objects(spark):
+    rows = frame(spark, ['{"a":[{"b":1}]}'])
+    assert {x.path for x in N.bridge(rows).collect()} == {"$", "$.a[0]"}
+    assert {x.path for x in N.bridge(rows, lone_label_lists=True).collect()} == {"$[0]", "$[0].a[0]"}
+
+
+def test_what_is_json():
+    assert N.parse("\ufeff[1]") == [1] and N.parse("[NaN]") is None and N.parse("[-Infinity]") is None
+    for text in ('{"a":[1,{"b":"x,]"},-2.5e3,true,null,{}],"c":[[],{}]}', " [ ] ", "3", '"s"', "{ }"):
+        assert N._deep(text) == json.loads(text)
+    for text in ("[1,]", "[,1]", "{,}", '{"a":1,}', '{"a" 1}', '{"a":}', "[1 2]", "]", "[1}", "[] []", "", "[", '{"a":[', "nul", "01"):
+        try:
+            N._deep(text)
+        except ValueError:
+            continue
+        raise AssertionError(text)
+    assert N._canonical({"b": [1, "é"], "a": {"#": "x"}}) == '{"a":{"#":"x"},"b":[1,"é"]}'
+
+
+def test_flat_tables(spark):
+    texts = ['[{"regions":[{"region_id":1,"bbox":[1,2],"path":"p","attributes":[{"name":"n"}]},{"region_id":2}]}]', '[{"regions":"[{\\"region_id\\": 1.5}]"}]', "[3]"]
+    b = N.bridge(frame(spark, texts))
+    t = N.flat_table(b, "t", "labels_json", "$[].regions[]")
+    assert t.columns == ["record_id", "path", "parent_path", "position", "node_id", "bbox", "path_", "region_id"]
+    assert {(r.record_id, r.path, r.parent_path, r.position, float(r.region_id), tuple(r.bbox or ()), r.path_) for r in t.collect()} == {
+        (0, "$[0].regions[0]", "$[0]", 0, 1.0, (1, 2), "p"), (0, "$[0].regions[1]", "$[0]", 1, 2.0, (), None), (1, "$[0].regions[0]", "$[0]", 0, 1.5, (), None)
+    }
+    assert N.flat_table(b, "t", "labels_json", "$.none").count() == 0
 
 
 def test_equal_objects_are_stored_once_and_every_place_kept(spark):
@@ -50,15 +80,15 @@ def test_round_trip(spark):
 
 
 def test_long_and_deep_and_empty(spark):
-    deep = "[" * 3000 + "]" * 3000
+    deep = '[{"a":' + "[" * 30_000 + "]" * 30_000 + "}]"
     long = json.dumps([{"i": i} for i in range(30_000)])
     out = N.bridge(frame(spark, [deep, long, "[" * 100_000])).groupBy("record_id").agg(F.count("*").alias("n")).collect()
-    assert {x.record_id: x.n for x in out} == {1: 30_000}
+    assert {x.record_id: x.n for x in out} == {0: 1, 1: 30_000}
     assert N.bridge(frame(spark, ["{}"]).where("false")).count() == 0
 
 
 def test_objects_deeper_than_the_interpreter_recurses(spark):
-    depth = 3000
+    depth = 10_000
     deep = '{"a":' * depth + "1" + "}" * depth
     rows = N.bridge(frame(spark, [deep, '{"z":[{"b":2},' + deep + "]}"], "result_json")).select("record_id", "node_id", "parent_id", "depth").collect()
     assert sorted(r.depth for r in rows if r.record_id == 0) == list(range(depth)) and sum(r.record_id for r in rows) == depth + 2

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from sedimento.operators import orphans as O
@@ -26,8 +27,13 @@ def test_empty_tables(spark):
     assert run(spark, [], [(1, False, T[0])]).collect() == []
 
 
-def test_hot_range_is_split(spark, monkeypatch):
-    monkeypatch.setattr(O, "REFS_A_TASK", 50)
-    child = [(i, 7 if i % 3 else 8, T[1]) for i in range(1, 400)]
-    got = {x.record_id for x in run(spark, child, [(7, False, T[0])]).collect()}
-    assert got == {i for i in range(1, 400) if i % 3 == 0}
+def test_thousands_of_hot_ranges_are_split(spark):
+    """2,000 ranges above the limit, one of them far above it, against brute force."""
+    rng = random.Random(5)
+    child = [(n, (n % 2000) * O.RANGE_WIDTH + rng.choice((7, 8)), T[1]) for n in range(1, 12001)] + [(n, 3, T[1]) for n in range(20000, 20300)]
+    parent = [(k * O.RANGE_WIDTH + 7, False, T[0]) for k in range(0, 2000, 2)]
+    there = {x[0] for x in parent}
+    c = spark.createDataFrame([(*x, "no", 9) for x in child], CHILD)
+    p = spark.createDataFrame([(*x, 3) for x in parent], PARENT)
+    got = {x.record_id for x in O.orphans([O.Reference("c", "ref", c, "p")], {"p": p}, refs_a_task=2).collect()}
+    assert got == {n for n, ref, _ in child if ref not in there}
