@@ -56,4 +56,10 @@ def p6_objects(spark: SparkSession, d: str) -> DataFrame:
     return flatten.objects(_bridge(spark, d)).selectExpr("hex(node_id) as node_id", "body", "occurrences")
 
 
-QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **cleaning_plan.QUERIES, **text_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p2_descendants, p5_found, p5_report, p6_found, p6_objects)}
+def p6_regions(spark: SparkSession, d: str) -> DataFrame:
+    """One of the flat tables: the regions of the label records, each with its parent record and its place there."""
+    t = flatten.flat_table(_bridge(spark, d), "samples", "labels_json", "$[].regions[]")
+    return t.selectExpr("record_id", "path", "parent_path", "position", "cast(region_id as bigint) as region_id", "cast(bbox[0] as bigint) as x", "cast(bbox[1] as bigint) as y", "cast(bbox[2] as bigint) as w", "cast(bbox[3] as bigint) as h")
+
+
+QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **cleaning_plan.QUERIES, **text_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p2_descendants, p5_found, p5_report, p6_found, p6_objects, p6_regions)}

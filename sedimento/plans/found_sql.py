@@ -31,4 +31,10 @@ SQL = {
         a as (select d.table_name, d.column_name, d.id, k.fullkey as path, k.type, json_extract_string(k.atom, '$') as s from d, json_tree(d.j) k),
         b as (select a.table_name, a.column_name, a.id, a.path || substr(k.fullkey, 2) as path, k.type from a, json_tree(case when a.type = 'VARCHAR' and left(ltrim(s), 1) in ('[', '{{') and json_valid(s) then s::json else 'null'::json end) k where a.type = 'VARCHAR' and left(ltrim(s), 1) in ('[', '{{') and json_valid(s))
         select table_name, column_name, id as record_id, path from a where type = 'OBJECT' and path like '%]' union all select table_name, column_name, id, path from b where type = 'OBJECT' and path like '%]'""",
+    "p6_regions": f"""
+        with j as (select id, {_READ.format("labels_json")} as j from samples), r as (select id, unnest(from_json(j, '["JSON"]')) as r, generate_subscripts(from_json(j, '["JSON"]'), 1) - 1 as k from j where json_type(j) = 'ARRAY'),
+        g as (select id, k, case when json_type(r->'$.regions') = 'VARCHAR' and json_valid(r->>'$.regions') then (r->>'$.regions')::json else r->'$.regions' end as g from r),
+        o as (select id, k, unnest(from_json(g, '["JSON"]')) as o, generate_subscripts(from_json(g, '["JSON"]'), 1) - 1 as p from g where json_type(g) = 'ARRAY')
+        select id as record_id, '$[' || k || '].regions[' || p || ']' as path, '$[' || k || ']' as parent_path, p::int as position, (o->>'$.region_id')::bigint as region_id,
+            (o->>'$.bbox[0]')::bigint as x, (o->>'$.bbox[1]')::bigint as y, (o->>'$.bbox[2]')::bigint as w, (o->>'$.bbox[3]')::bigint as h from o where json_type(o) = 'OBJECT'""",
 }
