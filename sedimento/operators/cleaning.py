@@ -45,7 +45,7 @@ def leaders(prints: DataFrame, max_bits: int, width: int = hamming.BITS, nearest
     """
     value = ["algo", *hamming.words(width)]
     nodes = cut(prints.groupBy(*value).agg(F.min("id").alias("node")))
-    pairs = hamming.near_pairs(nodes, nodes, max_bits, ["node"], width).where("e_node > t_node").select(F.col("e_node").alias("late"), F.col("t_node").alias("early"), "bits")
+    pairs = hamming.near_pairs(nodes, nodes, max_bits, ["node"], width, later_than="node").select(F.col("e_node").alias("late"), F.col("t_node").alias("early"), "bits")
     pairs = cut(pairs)
     late = pairs.select(F.col("late").alias("node")).distinct()
     first = pairs.select(F.col("early").alias("node")).distinct().join(late, "node", "left_anti")

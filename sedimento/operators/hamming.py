@@ -1,21 +1,34 @@
-"""Pairs of fingerprints within a Hamming distance, exactly, without comparing all with all where the distance allows it.
-
-A fingerprint of any width is cut into longs of 48 bits (f0, f1, ..., the last holding the lowest bits) with the name of
-its algorithm. Its bits are dealt to b blocks: with at most 2 b - 1 differing bits some block has at most one. The indexed
-side stores its blocks; the probing side looks for each block as it is and with each bit turned (width + b keys; 144 bits
-and up to 11 differing ones give six blocks of 24 and 150 keys). A pair is kept only in the first block that finds it, so
-none comes twice, and every pair is verified. Where blocks would have fewer than 8 bits, nearly all pairs would meet in
-some block: then all pairs of an algorithm are compared, once.
+"""Pairs of fingerprints within a Hamming distance, exactly, by banded one-permutation minwise signatures.
+
+A fingerprint of any width is the set of its (position, bit) shingles; two that differ in d of w bits have the Jaccard
+similarity (w - d) / (w + d). One fixed permutation of the positions, cut into w bins of the two shingles of a position,
+gives a minwise signature of w values, and the values of a band are its bucket. It is kept as longs of 48 bits (f0, f1, ...,
+the last holding the lowest bits) beside the name of its algorithm.
+
+All pairs are asked for, so bands also have to meet where a few values differ: with b bands and at most m differing bits
+some band differs in at most m // b. The indexed side stores its b buckets; the probing side looks into each bucket that is
+up to m // b values away. Few wide bands make few false candidates, many narrow ones few probes: how many there are is
+chosen by the number of rows on both sides. Every candidate is verified, and kept only in the first band that finds it,
+so no pair is lost and none comes twice. Buckets with very many rows are spread over parts.
 """
 
 from __future__ import annotations
 
+import random
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimento.functions import reading
+from sedimento.operators.ranking import copied, hot_keys, salted
 
-BITS, WORD, BAND_BITS, LEAST_BAND, SALTS = 144, 48, 24, 8, 64
+BITS, WORD = 144, 48
+MOST_TURNED = 2  # values of a band that a probe may turn: 36-bit bands have 667 such probes, and 7,807 with three
+BUCKET_ROWS = 20_000
+LEAST_BAND = 8
+VERIFY = 0.3  # the cost of a candidate, in shuffled rows
 # Hexadecimal digits of hashes of 4 x 4 to 16 x 16 bits.
 DIGITS = tuple(-(-n * n // 4) for n in range(4, 17))
 
@@ -50,58 +63,74 @@ def digit_values(label_records: Column) -> Column:
     return _read(label_records, DIGITS, lambda bare: [bare.alias("digits")])
 
 
-def _bands(width: int, max_bits: int) -> list[list[tuple[int, list[int]]]]:
-    """Bits of each block as (word, bits in it); none if all pairs have to be compared."""
-    n = max(width // BAND_BITS, (max_bits + 2) // 2)
-    if width // n < LEAST_BAND and max_bits > 0:
-        return []
-    last, out = len(words(width)) - 1, []
-    for k in range(n):
-        parts: dict[int, list[int]] = {}
-        for p in range(k * width // n, (k + 1) * width // n):
-            parts.setdefault(last - p // WORD, []).append(p % WORD)
-        out.append(list(parts.items()))
+def bands(width: int, max_bits: int, n_probe: int, n_index: int) -> tuple[list[list[int]], int]:
+    """(positions of each band, values that may differ in it): the cheapest choice for so many rows on the two sides."""
+    order = list(range(width))
+    random.Random(width).shuffle(order)
+    best = None
+    for turned in range(min(MOST_TURNED, max_bits) + 1):
+        b = max_bits // (turned + 1) + 1
+        if b > width:
+            continue
+        cut = [order[k * width // b : (k + 1) * width // b] for k in range(b)]
+        probes = [sum(comb(len(c), i) for i in range(turned + 1)) for c in cut]
+        cost = n_probe * sum(probes) + n_index * b + VERIFY * n_probe * n_index * sum(p / 2 ** len(c) for p, c in zip(probes, cut, strict=True))
+        if best is None or cost < best[0]:
+            best = (cost, cut, turned)
+    if best is None or min(map(len, best[1])) < LEAST_BAND and VERIFY * n_probe * n_index < best[0]:
+        return [[]], 0  # bands so narrow that nearly all pairs meet in several: one bucket, every pair once
+    return best[1], best[2]
+
+
+def _masks(width: int, positions: tuple[int, ...] | list[int]) -> list[int]:
+    """For each word the bits of these positions (0 is the lowest bit)."""
+    out = [0] * len(words(width))
+    for p in positions:
+        out[-1 - p // WORD] |= 1 << p % WORD
     return out
 
 
-def _mask(bits: list[int]) -> Column:
-    return F.lit(sum(1 << b for b in bits)).cast("long")
-
-
-def _key(values: list[Column], k: int) -> Column:
-    return F.struct(F.xxhash64(F.col("algo"), F.lit(k), *values).alias("key"), F.lit(k).alias("band"))
-
-
-def _blocks(band: list[tuple[int, list[int]]]) -> list[Column]:
-    return [F.col(f"f{w}").bitwiseAND(_mask(bits)) for w, bits in band]
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
-def _probes(band: list[tuple[int, list[int]]], k: int) -> list[Column]:
-    """Arrays of keys of block k as it is and with each bit turned."""
-    values = _blocks(band)
+def _band_values(width: int, band: list[int]) -> list[Column]:
+    return [F.col(n).bitwiseAND(_long(m)) for n, m in zip(words(width), _masks(width, band), strict=True) if m]
 
-    def one(i: int, bits: list[int]) -> Column:
-        masks = F.array(*[F.lit(m).cast("long") for m in ([0] if i == 0 else []) + [1 << b for b in bits]])
-        return F.transform(masks, lambda m: _key([*values[:i], values[i].bitwiseXOR(m), *values[i + 1 :]], k))
 
-    return [one(i, bits) for i, (_, bits) in enumerate(band)]
+def _keys(width: int, cut: list[list[int]], turned: int) -> Column:
+    """array<struct<key, band>> of the buckets of a row and, with turned > 0, of those up to so many values away."""
+    out = []
+    for k, band in enumerate(cut):
+        values, used = _band_values(width, band), [i for i, m in enumerate(_masks(width, band)) if m]
+        key = lambda v, k=k: F.struct(F.xxhash64(F.col("algo"), F.lit(k), *v).alias("key"), F.lit(k).alias("band"))
+        if not turned:
+            out.append(F.array(key(values)))
+            continue
+        flips = [_masks(width, c) for n in range(turned + 1) for c in combinations(band, n)]
+        turns = F.array(*[F.struct(*[_long(f[i]).alias(f"m{i}") for i in used]) for f in flips])
+        out.append(F.transform(turns, lambda m, values=values, used=used, key=key: key([v.bitwiseXOR(m[f"m{i}"]) for v, i in zip(values, used, strict=True)])))
+    return F.concat(*out)
 
 
-def near_pairs(probe: DataFrame, index: DataFrame, max_bits: int, both: list[str] | None = None, width: int = BITS) -> DataFrame:
+def near_pairs(probe: DataFrame, index: DataFrame, max_bits: int, both: list[str] | None = None, width: int = BITS, later_than: str | None = None) -> DataFrame:
     """algo, e0, e1, ... (of probe), t0, t1, ... (of index), bits; columns named in `both` come as e_<c> and t_<c>.
 
-    Each side should hold distinct fingerprints of `width` bits.
+    Each side should hold distinct fingerprints of `width` bits, and be cheap to read twice: its rows are counted first.
+    With later_than, a column, only pairs with a greater value on the probing side are kept: each once in a self-join.
     """
-    both, names, bands = both or [], words(width), _bands(width, max_bits)
-    if bands:
-        e_keys, t_keys = F.concat(*[a for k, b in enumerate(bands) for a in _probes(b, k)]), F.array(*[_key(_blocks(b), k) for k, b in enumerate(bands)])
-    else:
-        salted = lambda s: F.struct(F.xxhash64(F.col("algo"), s).alias("key"), F.lit(0).alias("band"))
-        e_keys, t_keys = F.array(salted(F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))), F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), salted)
-    side = lambda df, s, keys: df.select(F.col("algo").alias(f"{s}_algo"), *[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)], *[F.col(c).alias(f"{s}_{c}") for c in both], F.explode(keys).alias("x")).select("*", "x.key", "x.band").drop("x")
+    both, names = both or [], words(width)
+    cut, turned = bands(width, max_bits, probe.count(), index.count())
+    side = lambda df, s, keys: df.select(F.col("algo").alias(f"{s}_algo"), *[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)], *[F.col(c).alias(f"{s}_{c}") for c in both], F.inline(keys))
+    e, t = side(probe, "e", _keys(width, cut, turned)), side(index, "t", _keys(width, cut, 0))
+    hot = hot_keys(t, ["key"], BUCKET_ROWS)
+    e, t = copied(e, hot, ["key"]), salted(t, hot, ["key"], F.xxhash64(*[f"t{k}" for k in range(len(names))]))
     diff = [F.col(f"e{k}").bitwiseXOR(F.col(f"t{k}")) for k in range(len(names))]
-    total = lambda counts: sum(counts[1:], counts[0])
+    total = lambda counts: sum(counts[1:], counts[0]) if counts else F.lit(0)
     bits = total([F.bit_count(x) for x in diff])
-    first = F.coalesce(*[F.when(total([F.bit_count(diff[w].bitwiseAND(_mask(b))) for w, b in band]) <= 1, F.lit(k)) for k, band in enumerate(bands)]) if bands else F.lit(0)
-    kept = side(probe, "e", e_keys).join(side(index, "t", t_keys), ["key", "band"]).where((F.col("e_algo") == F.col("t_algo")) & (bits <= max_bits) & (F.col("band") == first))
+    inside = [total([F.bit_count(d.bitwiseAND(_long(m))) for d, m in zip(diff, _masks(width, band), strict=True) if m]) for band in cut]
+    first = F.coalesce(*[F.when(x <= turned, F.lit(k)) for k, x in enumerate(inside)])
+    kept = e.join(t, ["key", "band", "salt__"]).where((F.col("e_algo") == F.col("t_algo")) & (bits <= max_bits) & (F.col("band") == first))
+    if later_than:
+        kept = kept.where(F.col(f"e_{later_than}") > F.col(f"t_{later_than}"))
     return kept.select(F.col("e_algo").alias("algo"), *[f"{s}{k}" for s in "et" for k in range(len(names))], bits.alias("bits"), *[f"{s}_{c}" for s in "et" for c in both])

@@ -11,19 +11,21 @@ HOT_ROWS = 200_000
 MAX_HOT = 100_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS, counted: str | None = None) -> DataFrame | None:
     """keys, parts__: keys with more than `least` rows and into how many parts to cut them; None if there are none.
 
-    Only the MAX_HOT largest are taken, so the list can be broadcast at any size of the data; as there are at most MAX_HOT
-    keys with more than rows / MAX_HOT rows, every key left out has at most max(least, rows / MAX_HOT).
+    With counted, a column, rows already hold one row a key and this many rows stand behind it. Only the MAX_HOT largest
+    keys are taken, so the list can be broadcast at any size of the data; as there are at most MAX_HOT keys with more than
+    rows / MAX_HOT rows, every key left out has at most max(least, rows / MAX_HOT).
     """
-    top = rows.groupBy(*keys).agg(F.count("*").alias("n__")).where(F.col("n__") > least).orderBy(F.desc("n__"), *keys).limit(MAX_HOT)
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n__")) if counted is None else rows.select(*keys, F.col(counted).alias("n__"))
+    top = n.where(F.col("n__") > least).orderBy(F.desc("n__"), *keys).limit(MAX_HOT)
     top = top.select(*keys, F.ceil(F.col("n__") / least).cast("int").alias("parts__"))
     found = top.collect()
     return rows.sparkSession.createDataFrame(found, top.schema) if found else None
 
 
-def salted(rows: DataFrame, hot: DataFrame | None, keys: list[str], row_id: str) -> DataFrame:
+def salted(rows: DataFrame, hot: DataFrame | None, keys: list[str], row_id: str | Column) -> DataFrame:
     """rows with salt__: 0, but for hot keys a part of the key, chosen by row_id."""
     if hot is None:
         return rows.withColumn("salt__", F.lit(0))
@@ -58,7 +60,19 @@ def numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return inside.join(counts, on).withColumn("rn", F.col("before__") + F.col("in__")).drop("before__", "in__", "pid__", *[f"{c}__r" for c in g])
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, row_id: str, least: int = HOT_ROWS) -> DataFrame:
-    """Inner join of rows with groups (one row a key); only keys with more than `least` rows are spread over parts."""
-    hot = hot_keys(rows, [key], least)
+def looked_up(rows: DataFrame, values: DataFrame, key: str, row_id: str | Column) -> DataFrame:
+    """Left join of rows with values (one row a key): broadcast if they are counted to be few, else hot keys are spread."""
+    if values.count() <= MAX_HOT:
+        return rows.join(F.broadcast(values), key, "left")
+    hot = hot_keys(rows, [key])
+    return salted(rows, hot, [key], row_id).join(copied(values, hot, [key]), [key, "salt__"], "left").drop("salt__")
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, row_id: str | Column, least: int = HOT_ROWS, counted: str | None = None) -> DataFrame:
+    """Inner join of rows with groups (one row a key); only keys with more than `least` rows are spread over parts.
+
+    With counted, a column of groups, that is how many rows a key has; else they are counted.
+    """
+    hot = hot_keys(rows if counted is None else groups, [key], least, counted)
+    groups = groups.drop(counted) if counted else groups
     return salted(rows, hot, [key], row_id).join(copied(groups, hot, [key]), [key, "salt__"]).drop("salt__")
