@@ -10,7 +10,7 @@ from sedimento.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.survivors(table(spark, d, "samples"), table(spark, d, "origin_trust")).select("group_id", "field_name", "sample_id")
+    return survivors.survivors(table(spark, d, "samples"), table(spark, d, "origin_trust"), judged=False).select("group_id", "field_name", "sample_id")
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return quota_sample.draw_to_targets(table(spark, d, "samples"), table(spark, d, "category_targets"))[1]
+    return quota_sample.drawn_report(table(spark, d, "samples"), table(spark, d, "category_targets"))
 
 
 def p4_drawn(spark: SparkSession, d: str) -> DataFrame:

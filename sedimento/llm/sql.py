@@ -64,3 +64,7 @@ SQL = {
 SQL["p8_report"] = f"""
     with f as ({SQL["p8_found"].strip()}), c as (select item_id, count(*) as n from f group by 1)
     select benchmark, split_name, count(*)::bigint as items, count(n)::bigint as leaked_items, coalesce(sum(n), 0)::bigint as document_hits from eval_items left join c using (item_id) group by 1, 2"""
+SQL["p7_report"] = f"""
+    with f as ({SQL["p7_found"].strip()}), {_SAMPLES.strip()}, {_SPLITS.strip()}, ev as (select s.id, split, coalesce({_WORD.format("(m->>'$.origin')")}, '') as origin from s join sp using (id) where split in ('validation', 'test')),
+    p as (select ev.*, sample_id_a, sample_id_b from f join ev on ev.id in (sample_id_a, sample_id_b))
+    select split, origin, count(*)::bigint as pairs, count(distinct id)::bigint as evaluation_samples from p group by 1, 2"""
