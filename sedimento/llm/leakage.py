@@ -6,14 +6,15 @@ p <= (window + 1) / (errors + 2), and so many edits cannot touch them all: one p
 An Aho-Corasick automaton over all pieces finds exact piece hits in one scan of each text; around a hit, Myers'
 bit-parallel distance (over words) verifies the passages that hold the piece.
 
-The items are the query set; their pieces are broadcast, behind a check of their size. Documents are only streamed:
-nothing is shuffled, and no document is cut or skipped.
+The items are the query set; their pieces are broadcast, MAX_ITEM_CHARS characters at a time: more items take another
+scan of the corpus for each such part. Documents are only streamed: nothing is shuffled, and none is cut or skipped.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -82,9 +83,10 @@ class Items:
         hits = list(self.automaton.iter(line))
         if not hits:
             return set()
-        doc, out = line.split(), set()
-        for end, (size, where) in hits:
-            at = line.count(" ", 0, end - size + 2) - 1  # index of the piece's first word
+        doc, out, upto, blanks = line.split(), set(), 0, 0
+        for first, where in sorted((end - size + 2, where) for end, (size, where) in hits):
+            blanks += line.count(" ", upto, first)
+            upto, at = first, blanks - 1  # index of the piece's first word
             for k, start in where:
                 item, w = self.words[k]
                 if item not in out and self._verify(w, start, doc, at):
@@ -108,12 +110,17 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, errors:
     documents are one document, repeated ids of items one item; empty tables give no rows. With errors = 0 a pair
     shares `window` or more consecutive words.
     """
-    spark = documents.sparkSession
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if chars > MAX_ITEM_CHARS:
-        raise ValueError(f"test items of {chars} characters are too many to broadcast; call this for parts of them")
-    query = [(r["item_id"], r["text"]) for r in items.where("item_id is not null and text is not null").select("item_id", "text").collect()]
-    shared = spark.sparkContext.broadcast(query)
+    wanted = items.where("item_id is not null and text is not null").select("item_id", "text")
+    chars = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = -(-chars // MAX_ITEM_CHARS) or 1
+    read = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    found = [_scan(read, wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else wanted, window, errors) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _scan(documents: DataFrame, items: DataFrame, window: int, errors: int) -> DataFrame:
+    """doc_id, item_id of items that are few enough to be broadcast."""
+    shared = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(shared.value, window, errors)
@@ -126,7 +133,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, errors:
             if doc:
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64())], ["doc_id", "item_id"])
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, "doc_id long, item_id long").distinct()
+    return documents.mapInArrow(scan, "doc_id long, item_id long")
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +31,26 @@ ALIKE_CHARS = frozenset(map(chr, ALIKE))
 SPELLED = {w: str(d) for d, ws in enumerate(("zero oh null", "one eins un", "two zwei deux", "three drei trois", "four vier quatre", "five fünf cinq", "six sechs", "seven sieben sept", "eight acht huit", "nine neun neuf")) for w in ws.split()}
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 SPELLED_RUN = re.compile(rf"\b{_WORD}(?:[ \-]{_WORD}){{5,}}\b", re.I)
-AT_DOT = re.compile(r"\s?[(\[{<](?:at|AT|At)[)\]}>]\s?|\s?[(\[{<](?:dot|DOT|Dot)[)\]}>]\s?| (?:at|AT) (?=[A-Za-z0-9\-]+(?: (?:dot|DOT) [A-Za-z0-9\-]+)+)| (?:dot|DOT) (?=[A-Za-z0-9\-]+)")
+AT_DOT = re.compile(r"\s?[(\[{<]\s?(?:at|dot)\s?[)\]}>]\s?", re.I)
+_PART = r"[A-Za-z0-9](?:[A-Za-z0-9_%+\-]|\.(?=[A-Za-z0-9]))*"
+# An address in words: the last `at` before the words of its domain is the sign, an earlier one is a preposition.
+WORDED = re.compile(rf"(?<![\w.%+\-]){_PART}(?: dot {_PART})*(?P<at> at )[A-Za-z0-9\-]+(?: dot [A-Za-z0-9\-]+)+(?![\w\-]| dot \w| at [A-Za-z0-9\-]+ dot )", re.I)
+# What is left of one whose `at` is a sign already.
+DOMAIN_WORDS = re.compile(rf"(?<=@)[A-Za-z0-9\-]+(?:(?: dot |\.)[A-Za-z0-9\-]+)+|(?<![\w.%+\-]){_PART}(?: dot {_PART})+(?=@)", re.I)
+_DOT_WORD = re.compile(" dot ", re.I)
+
+
+def _signs(t: str) -> Iterator[tuple[int, int, str]]:
+    """Places of ` at ` and ` dot ` in addresses in words, with the signs that they stand for."""
+    for m in WORDED.finditer(t):
+        dots = [(*d.span(), ".") for d in _DOT_WORD.finditer(t, *m.span())]
+        yield from sorted([*dots, (*m.span("at"), "@")])
+
+
+def _dots(t: str) -> Iterator[tuple[int, int, str]]:
+    for m in DOMAIN_WORDS.finditer(t):
+        for d in _DOT_WORD.finditer(t, *m.span()):
+            yield *d.span(), "."
 
 
 class Normalised:
@@ -44,24 +63,29 @@ class Normalised:
     def __init__(self, source: str):
         self.text = source if source.isascii() or ALIKE_CHARS.isdisjoint(source) else source.translate(ALIKE)
         self.layers: list[tuple[list[int], list[int]]] = []
-        t = self.text
-        if "dot" in t or "DOT" in t or "at)" in t or "at]" in t or "AT" in t or "at}" in t:
-            self._rewrite(AT_DOT, lambda m: "@" if "a" in m[0].lower() else ".")
-        if sum(map(SPELLED.__contains__, self.text.lower().replace("-", " ").split())) >= 4:  # the inner words of a run
-            self._rewrite(SPELLED_RUN, lambda m: "".join(SPELLED[w.lower()] for w in re.split("[ -]", m[0])))
-
-    def _rewrite(self, pattern: re.Pattern, to) -> None:
-        out, at, src, done, size = [], [0], [0], 0, 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            out += [self.text[done : m.start()], new]
-            size += m.start() - done
+        low = self.text.lower()
+        if AT_DOT.search(low):
+            self._rewrite((*m.span(), "@" if "a" in m[0].lower() else ".") for m in AT_DOT.finditer(self.text))
+        if " dot " in low:
+            if " at " in low:
+                self._rewrite(_signs(self.text))
+            if "@" in self.text:
+                self._rewrite(_dots(self.text))
+        if sum(map(SPELLED.__contains__, low.replace("-", " ").split())) >= 4:  # the inner words of a run
+            self._rewrite((*m.span(), "".join(SPELLED[w.lower()] for w in re.split("[ -]", m[0]))) for m in SPELLED_RUN.finditer(self.text))
+
+    def _rewrite(self, pieces: Iterable[tuple[int, int, str]]) -> None:
+        """Put other text in place of pieces (start, end, text), which come in order."""
+        out, at, src, done, size, old = [], [0], [0], 0, 0, self.text
+        for a, b, new in pieces:
+            out += [old[done:a], new]
+            size += a - done
             at += [size, size + len(new)]
-            src += m.span()
+            src += [a, b]
             size += len(new)
-            done = m.end()
+            done = b
         if done:
-            out.append(self.text[done:])
+            out.append(old[done:])
             self.text = "".join(out)
             self.layers.append((at, src))
 
@@ -75,7 +99,7 @@ class Normalised:
 
 # ---- detectors -----------------------------------------------------------------------------------------------------
 
-LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*\Z")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 PHONE = re.compile(
     r"[+(0-9](?:"
@@ -92,6 +116,10 @@ PHONE = re.compile(
     r")(?![\d_]|[A-Za-z]|[\-./]\d)"
 )
 DIGIT_RUN = re.compile(r"[+(0-9][0-9 ()./\-]{8,}")
+# What telephone numbers are called, and what is done with them.
+PHONE_CUE = re.compile(r"(?:\b(?:call|ring|dial|phone|telephone|tel|mobile|cell|fax|text|telefon|handy|anrufen|tél|téléphone|portable|appeler|appelez)(?: (?:me|us|him|her|them|back|is|on|at|no|number|nr|unter|au|le)){0,4} ?[.:]{0,2} {0,2}|(?:电话|手机|座机|热线|致电|拨打)(?:是|为)?[：: ]{0,2})\Z", re.I)
+HAS_DIGITS = re.compile(r"[0-9][0-9 .\-/]{4,}[0-9]")
+SHORT_PHONE = re.compile(r"(?:[0-9]{2,4}(?:[ .\-/][0-9]{2,5}){1,4}|[0-9]{7,12})(?![0-9A-Za-z_]|[\-./:][0-9])")
 NOT_BEFORE_NUMBER = re.compile(r"(?:[A-Za-z0-9_#@/\\\-.+=]|\d[ :]|[A-Z] ?[\-#] ?|编号|[Tt]icket |[Hh]ash |哈希为|Offset |offset |checksum |build |serial |Serial |firmware |version |Version )\Z")
 # What identity numbers are called.
 ID_LABEL = re.compile(
@@ -99,7 +127,7 @@ ID_LABEL = re.compile(
     r"|(?i:social security(?: (?:number|no\.?))?)|(?i:tax (?:id|number|no\.?))|NIR\b|(?i:num[ée]ro de s[ée]curit[ée] sociale)|(?i:num[ée]ro fiscal)|(?i:passeport(?: n[°o]\.?)?)"
     r"|Ausweisnummer|Steuer-ID|Steuernummer|Personalausweis(?: Nr\.?)?|Reisepass(?: Nr\.?)?|Sozialversicherungsnummer|身份证(?:号码|号)?|证件(?:号码|号)|护照(?:号码|号)?|社保号|税号"
 )
-ID_WORDS = ("ni number", "ni no", "national ins", "travel doc", "passport", "ssn", "soc. sec", "soc.sec", "social sec", "tax id", "tax n", "nir ", "sociale", "fiscal", "passeport", "reisepass", "ausweis", "steuer", "versicherung", "身份证", "证件", "护照", "社保", "税号")
+ID_WORDS = ("ni number", "ni no", "national ins", "travel doc", "passport", "ssn", "soc. sec", "soc.sec", "social sec", "tax id", "tax n", "nir", "sociale", "fiscal", "passeport", "reisepass", "ausweis", "steuer", "versicherung", "身份证", "证件", "护照", "社保", "税号")
 ID_VALUE = re.compile(r"[\s:：#]{0,3}([A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{1,2}\d{6,9}|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d|\d(?:[ \-]?\d){6,17}[Xx]?)(?![A-Za-z0-9_]|-\d)")
 INSURANCE_SHAPE = re.compile(r"[0-9][0-9] [0-9][0-9] [0-9][0-9] [A-D]\b")
 IDENTITY_SHAPE = re.compile(r"[0-9]{17}[0-9Xx]")
@@ -109,12 +137,12 @@ ADDRESS = (
     re.compile(rf"[0-9]{{1,5}}[a-z]?[  ]{{1,2}}(?:[A-Z][\w'’\-]*\.?[  ]{{1,2}}){{1,3}}(?:{_STREET})\b(?:,? {{1,2}}(?:Flat|Unit|Apt|Suite|Apartment)\.? ?\d+[A-Za-z]?\b)?"),
     re.compile(r"(?:(?:Alte|Neue|Große|Kleine|Obere|Untere|Lange|Hohe|Am|An der|Im|Zum|Zur)[rnms]? )?[A-ZÄÖÜ][a-zäöüß]+(?:-?[Ss]tra(?:ße|sse)|str\.|weg|allee|gasse|steig|ufer|platz|damm|markt) {1,2}\d{1,4}[a-z]?\b"),
     re.compile(r"[0-9]{1,4}(?: (?:bis|ter|quater))?,? {1,2}(?:rue|allée|quai|impasse|avenue|boulevard|place|chemin|cours|passage|route|square)(?: (?:de la|de l['’]|du|des|de|d['’]|l['’]|la|le|les))? ?[A-ZÀ-Þ][\w\-'’]*(?: [A-ZÀ-Þ][\w\-'’]*)*"),
-    re.compile(r"(?:(?<=[为到在于往：:，。；、\s（(])|^)[一-鿿]{1,6}?(?:大道|胡同|路|街|巷|弄)\d{1,5}号(?:\d{1,4}(?:单元|号楼|栋|幢|座))?(?:\d{1,5}室)?", re.M),
+    re.compile(r"(?:(?<=[为到在于往：:，。；、\s（(])|^)[一-鿿]{1,6}?(?:大道|胡同|路|街|巷|弄)\d{1,5}号(?:\d{1,4}(?:单元|号楼|栋|幢|座))*(?:\d{1,5}室)?", re.M),
 )
 _NUMBERED = re.compile(r"[0-9][a-z]? {1,2}[A-Z]")
 _GERMAN = ("straße", "strasse", "str.", "weg ", "allee ", "gasse ", "steig ", "ufer ", "platz ", "damm ", "markt ")
-_FRENCH = (" rue ", "allée ", "quai ", "impasse ", "avenue ", "boulevard ", "place d", "chemin ", "cours d", "passage d", "route d", "square d")
-_GATES = (_NUMBERED.search, lambda t: any(w in t for w in _GERMAN), lambda t: any(w in t for w in _FRENCH), lambda t: "号" in t)
+_FRENCH = re.compile(r"(?:[0-9]|bis|ter|quater),? {1,2}(?:rue|allée|quai|impasse|avenue|boulevard|place|chemin|cours|passage|route|square) ")
+_GATES = (_NUMBERED.search, lambda t: any(w in t for w in _GERMAN), _FRENCH.search, lambda t: "号" in t)
 
 _CAP = r"[A-ZÀ-Þ][A-Za-zÀ-ɏ]*(?:['’\-][A-Za-zÀ-ɏ]+)*"
 _LOW = r"[a-zà-ÿ]+(?:['’\-][a-zà-ÿ]+)*"
@@ -134,6 +162,7 @@ AFTER = (" asked for", " signed the", " a corrigé", " confirmed the position",
 HAN_CUES = re.compile(rf"(?:联系人|标注员|审核人|复核人|负责人|作者|潜水员|录入员)[：: ]{{0,2}}(?P<a>{HAN}?|{NAME}|{PLAIN})(?=[ 。，；\n\r]|已|$)|请(?:找|联系|通知)(?P<b>{HAN}?|{NAME}|{PLAIN})(?=核对|确认|处理|复核|。|，)|由(?P<c>{HAN}?|{NAME}|{PLAIN})(?=复核|标注|审核|负责|确认)|感谢(?P<d>{HAN}?|{NAME}|{PLAIN})(?=[。，！\n\r]|$)")
 HAN_GATE = re.compile("联系人|标注员|审核人|复核人|负责人|作者|潜水员|录入员|请找|请联系|请通知|由|感谢")
 _NAME, _PLAIN = re.compile(NAME), re.compile(PLAIN)
+HEADER = re.compile(r"[^<>\s]*@[^<>\s]*>")
 _AT_END = re.compile(rf"(?:(?<![\w.'’\-])|^)(?:{NAME})\Z")
 _PLAIN_END = re.compile(rf"(?:(?<=[.!?:;。：] )|(?<=[.!?:;。：]  )|(?<=[\n\r。：])|^)(?:{PLAIN})\Z")
 _HAN_END = re.compile(rf"(?:(?<=[\n\r。：，；、 ])|^){HAN}\Z")
@@ -145,16 +174,55 @@ STRICT = ("Bitte",)  # cues of much else: what follows decides, however the name
 # Words with a capital that follow a cue and aren't persons.
 NOT_NAMES = frozenset("The This That These Those All Each Every Both Our My Your Its It If In On At A An No Not Nothing Please Die Der Das Den Dem Ein Eine Le La Les Un Une Des Il Elle Table Unit Lane Batch Task Dataset Path Open Note Second After Before Split Rows Images Hash Storage".split())
 
+# Names by general contexts: what a field is called, salutations and closings, titles, deeds done by or to somebody.
+_FULL = rf"(?:(?:[A-ZÀ-Þ]\.{_SP}?){{1,2}}|{_CAP}{_SP}(?:[A-ZÀ-Þ]\.{_SP})?)(?:(?:van|von|de|da|del|di|der|den|la|le|bin|al|el){_SP})*{_CAP}(?:{_SP}{_CAP})?"
+_ONE = rf"(?:{_FULL}|{_CAP})"
+_TITLED = r"(?:(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|M|Monsieur|Madame|Captain|Capt)\.?[  ]{1,2})"
+# Words of the contexts.
+FIELD = re.compile(
+    rf"(?:^|(?<=[\n\r.;,|(\[] )|(?<=[\n\r;|(\[]))[ \t>*\-]*(?:Author|From|To|Cc|Bcc|By|Name|Full name|Contact|Contact person|Owner|Reviewer|Annotator|Operator|Editor|Sender|Recipient|Attn|Signed|Signed by|Prepared by|Reported by|Reviewed by|Approved by|Written by|Maintainer|Supervisor|Assignee|Inspector|Analyst"
+    rf"|Verfasser|Verfasserin|Autor|Autorin|Bearbeiter|Bearbeiterin|Ansprechpartner|Ansprechpartnerin|Absender|Empfänger|Prüfer|Prüferin|Von|An|Auteur|Autrice|Nom|Expéditeur|Destinataire|Responsable|Relecteur|Relectrice|De|À)[  ]?[:：][  ]{{0,2}}{_TITLED}?(?P<n>{_FULL})(?=[  ]*(?:$|[\n\r<(,;.|\])]))", re.M
+)
+SALUTATION = re.compile(rf"(?:^|(?<=[\n\r.!?] )|(?<=[\n\r]))[ \t>]*(?:Dear|Hi|Hello|Hey|Good morning|Bonjour|Salut|Cher|Chère|Hallo|Liebe|Lieber|Guten Tag|Sehr geehrter|Sehr geehrte),?[  ]{{1,2}}{_TITLED}?(?P<n>{_ONE})(?=[  ]?[,!:]|[  ]*[\n\r])", re.M)
+CLOSING = re.compile(rf"(?:[Rr]egards|[Ww]ishes|[Ss]incerely|[Bb]est|[Cc]heers|[Tt]hanks|Thank you|Grüße|Grüßen|Gruß|Merci|Cordialement|Bien à vous),?[ \t]*\r?\n[ \t]*{_TITLED}?(?P<n>{_FULL})[ \t]*(?=[\r\n]|$)")
+TITLED = re.compile(rf"(?<![\w.])(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Monsieur|Madame|Captain|Capt)(?:\.|(?=[  ]))[  ]{{1,2}}{_TITLED}*(?P<n>{_ONE})")
+DONE_BY = re.compile(rf"[  ](?:by|von|par|By|BY)[  ]{{1,2}}{_TITLED}?(?P<n>{_FULL})")
+DONE = re.compile(
+    r"\b(?:written|reviewed|corrected|approved|signed|prepared|checked|confirmed|reported|drawn|labell?ed|annotated|recorded|entered|sent|edited|verified|uploaded|submitted|supplied|taken|collected"
+    r"|erstellt|geprüft|bearbeitet|gezeichnet|freigegeben|kontrolliert|gemeldet|bestätigt|aufgenommen|(?:relu|rédigé|vérifié|corrigé|validé|signé|approuvé|annoté|envoyé|saisi)e?s?)\Z", re.I
+)
+DONE_TO = re.compile(
+    rf"\b(?:[Cc]all|[Cc]ontact|[Ee]mail|[Aa]sk|[Tt]ell|[Tt]hank|[Pp]ing|[Nn]otify|[Ii]nform|[Pp]hone|cc|[Tt]hanks to|[Tt]hank you|[Ss]poke (?:to|with)|[Ss]peak (?:to|with)|[Tt]alk(?:ed)? (?:to|with)|[Mm]et(?: with)?|[Ww]rote to|[Ww]rite to|[Aa]ccording to|[Ll]aut|[Ss]elon|[Pp]révenir|[Cc]ontacter|[Cc]ontactez|[Dd]emandez à|[Ff]ragen Sie)[  ]{{1,2}}{_TITLED}?(?P<n>{_FULL})(?P<m>[  ](?:and|or|und|oder|et|ou)[  ]{_FULL})?"
+)
+DOES = re.compile(
+    rf"(?<![\w.'’\-])(?P<n>{_FULL})[  ](?=(?:said|says|wrote|writes|asked|asks|called|calls|replied|replies|told|signed|phoned|emailed|explained|thinks|insisted|complained|resigned|apologised|apologized|sagte|sagt|schrieb|schreibt|fragte|fragt|rief|meinte|antwortete|unterschrieb|a dit|a écrit|a signé|a appelé|a répondu|a demandé|a confirmé|a relu|a corrigé|dit que|écrit que)\b)"
+)
+# Each with parts of words, one of which stands in every text that it can match in.
+GENERAL = (
+    (FIELD, (": ", ":\t", "：", ":  ")), (SALUTATION, ("Dear", "Hi", "Hello", "Hey", "Good morning", "Bonjour", "Salut", "Ch", "Hallo", "Lieb", "Guten", "Sehr ge")), (CLOSING, ("egards", "ishes", "incerely", "est", "heers", "hank", "Gr", "Merci", "Cordialement", "Bien ")),
+    (TITLED, ("M", "Dr", "Prof", "Herr", "Frau", "Capt")), (DONE_BY, (" by ", " von ", " par ", " by\xa0", " von\xa0", " par\xa0", " BY ", " By ")), (DONE_TO, ("all", "act", "ail", "sk ", "ell ", "hank", "ing ", "otify", "nform", "one ", "cc ", "po", "et ", "te to", "ccording", "aut ", "elon ", "rév", "mandez", "ragen")), (DOES, ()),
+)
+HAN_GENERAL = re.compile(r"(?:联系人|负责人|作者|姓名|收件人|发件人|审核|编辑|经办人|签名|签收人|申请人|客户)[：:][ ]?(?P<a>[一-鿿]{2,4})(?=[ 。，；、（(\n\r]|$)|请(?:找|联系|通知|询问)(?P<b>[一-鿿]{2,3})(?=确认|核对|处理|复核|[。，])|由(?P<c>[一-鿿]{2,3})(?=负责|审核|复核|确认|维护|签收|提交|录入)")
+# Capitalised words of institutions, places, gear and programs, none of which end or begin a person's name.
+NO_PERSON = frozenset(
+    "Authority Harbor Harbour Sea Ocean Bay Port Island River Lake Coast North South East West Northern Southern Eastern Western Loader Module Model Learning Data Dataset Team Group Office Department Center Centre Institute University Company Service Services System Station Server Survey Manual Report Section Table Release Version Issue Error Batch Task Unit Lane Project Board Committee Council"
+    " Agency Museum School Library Street Road Avenue Lane Drive Square Januar January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Deep Machine Blue Red Green Black White New Old Great United General Data Quality Control Image Audio Video Text Sample Label Test Train Support Customer Help Desk Security Admin Human Resources".split()
+)
+
 
 def _emails(t: str) -> Iterator[tuple[int, int, str]]:
-    at = t.find("@")
+    at, last = t.find("@"), 0
     while at >= 0:
-        left = LOCAL.search(t, max(0, at - 80), at) if at else None
-        right = DOMAIN.match(t, at + 1)
-        if left and right:
-            start = left.start()
-            yield start, right.end(), "email"
-        at = t.find("@", at + 1)
+        a = at
+        while a > last and t[a - 1] in LOCAL:
+            a -= 1
+        while a < at and not t[a].isalnum():
+            a += 1
+        right = DOMAIN.match(t, at + 1) if a < at else None
+        if right:
+            yield a, right.end(), "email"
+        last = at + 1
+        at = t.find("@", last)
 
 
 def _ids(t: str) -> Iterator[tuple[int, int, str]]:
@@ -185,6 +253,10 @@ def _phones(t: str) -> Iterator[tuple[int, int, str]]:
             else:
                 yield a, b, "phone"
                 at = b
+    for run in HAS_DIGITS.finditer(t):
+        m = SHORT_PHONE.match(t, run.start())
+        if m and PHONE_CUE.search(t, max(0, m.start() - 60), m.start()) and sum(map(str.isdigit, m[0])) >= 6:
+            yield *m.span(), "phone"
 
 
 def _addresses(t: str) -> Iterator[tuple[int, int, str]]:
@@ -227,8 +299,8 @@ def _names(t: str) -> Iterator[tuple[int, int, str]]:
             at = t.find(verb, at + 1)
     at = t.find(" <")
     while at > 0:
-        close = t.find(">", at, at + 90)
-        if close > 0 and "@" in t[at:close]:
+        close = HEADER.match(t, at + 2)
+        if close:
             yield from _ending(t, at)
         at = t.find(" <", at + 1)
     if "--" in t:
@@ -239,12 +311,36 @@ def _names(t: str) -> Iterator[tuple[int, int, str]]:
     if HAN_GATE.search(t):
         for m in HAN_CUES.finditer(t):
             yield *m.span(m.lastgroup), "name"
+    for m in HAN_GENERAL.finditer(t):
+        yield *m.span(m.lastgroup), "name"
+    low = None
+    for pattern, parts in GENERAL:
+        if parts and not any(p in t for p in parts) or pattern is CLOSING and "\n" not in t:
+            continue
+        for m in pattern.finditer(t):
+            if pattern is DONE_BY and not DONE.search(t, max(0, m.start() - 16), m.start()):  # longer than any word of the list
+                continue
+            for a, b in [m.span("n")] + ([(m.start("m") + re.match(r"[  ]\w+[  ]", m["m"]).end(), m.end("m"))] if "m" in m.re.groupindex and m["m"] else []):
+                if t.startswith(" a ", b) and (sir := MONSIEUR.match(t[a:b])):
+                    a += sir.end()
+                x = _bare(t, a, b)
+                words = re.findall(r"[^\s.,]{2,}", t[x[0] : x[1]]) if x else []
+                if not words or any(w in NO_PERSON or w in NOT_NAMES for w in words):
+                    continue
+                # A word that the text also writes small is an ordinary word.
+                low = low if low is not None else frozenset(re.findall(r"[a-zà-ÿ]{2,}", t))
+                if not any(w[1:].islower() and w.lower() in low for w in words):
+                    yield x
 
 
 def _ending(t: str, at: int) -> Iterator[tuple[int, int, str]]:
     """The name that ends at this place."""
+    begin = max(t.rfind(c, 0, at) for c in "\n\r.!?;:。：，；、") + 1  # names hold full stops only after initials
+    while begin > 2 and t[begin - 1] == "." and t[begin - 2].isupper() and not t[begin - 3].isalnum():
+        begin = max(t.rfind(c, 0, begin - 1) for c in "\n\r.!?;:。：，；、") + 1
+    begin = max(0, begin - 2)
     for pattern in (_AT_END, _PLAIN_END, _HAN_END):
-        if m := pattern.search(t, max(0, at - 60), at):
+        if m := pattern.search(t, begin, at):
             if x := _bare(t, *m.span()):
                 yield x
             return
@@ -265,6 +361,10 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         for a, b, kind in found:
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, kind))
+    for full in {t[a:b] for a, b, kind in taken if kind == "name" and " " in t[a:b]}:  # the same name again, without a cue
+        for m in re.finditer(rf"(?<!\w){re.escape(full)}(?!\w)", t):
+            if all(m.end() <= x or m.start() >= y for x, y, _ in taken):
+                taken.append((*m.span(), "name"))
     return sorted((*norm.span(a, b), kind) for a, b, kind in taken)
 
 

@@ -29,6 +29,15 @@ def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
     return keep_together.assign(table(spark, d, "samples"), table(spark, d, "split_targets"))
 
 
+def p3_checked(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "split_targets")
+    return keep_together.checked(p3_assignment(spark, d), targets)
+
+
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    return keep_together.balance(p3_assignment(spark, d), table(spark, d, "split_targets"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     report = quota_sample.draw_to_targets(table(spark, d, "samples"), table(spark, d, "category_targets"))[1]
     return report.where("short").select("modality", "class_name")
@@ -75,6 +84,14 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.checked(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(table(spark, d, "documents")).select("doc_id", "pii_type", "pii_text").distinct()
 
@@ -85,5 +102,5 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_survivors, p1_retained, p3_found, p3_assignment, p4_found, p4_report, p4_drawn, p7_found, p7_report, p8_found, p8_near, p8_report, p9_found, p9_report, p9_mix, p10_found, p10_redacted)
+    for f in (p1_found, p1_survivors, p1_retained, p3_found, p3_assignment, p3_balance, p3_checked, p4_found, p4_report, p4_drawn, p7_found, p7_report, p8_found, p8_near, p8_report, p9_found, p9_report, p9_mix, p9_shares, p9_checked, p10_found, p10_redacted)
 }

@@ -36,10 +36,9 @@ def test_components_of_chains_stars_and_random_links(spark):
     assert K.components(df.where("false")).collect() == []
 
 
-def test_hot_nodes_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(K, "HOT_ROWS", 10)
+def test_hot_nodes_are_joined_apart(spark):
     links = [(-5, i) for i in range(1, 80)] + [(90, 91)]
-    got = {x.node: x.component for x in K.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x.node: x.component for x in K.components(spark.createDataFrame(links, "a long, b long"), hot_rows=10).collect()}
     assert got == brute(links)
 
 
@@ -61,3 +60,17 @@ def test_shares_are_met(spark):
     targets = spark.createDataFrame([("train", 0.7), ("test", 0.2), ("validation", 0.1)], "split_name string, target_share double")
     shares = {x.split_name: x.share for x in K.balance(K.assign(s, targets), targets).collect()}
     assert all(abs(shares[k] - v) < 0.04 for k, v in (("train", 0.7), ("test", 0.2), ("validation", 0.1)))
+
+
+def test_giant_groups_do_not_upset_the_shares(spark):
+    """One group with a third of all samples, one with a tenth; the rest are single."""
+    codes = ["AA-00000001"] * 1000 + ["BB-00000002"] * 300 + [None] * 1700
+    s = frame(spark, [(i, None, label(c), None) for i, c in enumerate(codes, 1)])
+    targets = spark.createDataFrame([("train", 0.7), ("test", 0.2), ("validation", 0.1)], "split_name string, target_share double")
+    for seed in (1, 2, 3):
+        assigned = K.assign(s, targets, seed)
+        shares = {x.split_name: x.share for x in K.balance(assigned, targets).collect()}
+        assert all(abs(shares[k] - v) < 0.04 for k, v in (("train", 0.7), ("test", 0.2), ("validation", 0.1)))
+    r = K.checked(assigned, targets).first()
+    assert (r.samples, r.groups, r.torn_groups, r.balanced) == (3000, 1702, 0, True)
+    assert K.checked(assigned.where("false"), targets).first().samples == 0

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -61,7 +62,7 @@ def test_edits_against_brute_force():
         assert (index.found(" ".join(text)) == {1}) == want
 
 
-def test_myers_and_limits(spark, monkeypatch):
+def test_myers_and_limits(spark):
     a, b = "k i t t e n".split(), "s i t t i n g".split()
     assert L.myers(a, b)[-1] == min(edit(a, b[i:]) for i in range(len(b) + 1))
     with pytest.raises(ValueError):
@@ -71,6 +72,21 @@ def test_myers_and_limits(spark, monkeypatch):
     found = L.leaks(docs(spark, [(1, long)]), items(spark, [(7, " ".join(f"Q{i}" for i in range(20)))]))
     assert [(x.doc_id, x.item_id) for x in found.collect()] == [(1, 7)]
     assert [(x.items, x.leaked_items) for x in L.leak_report(found, items(spark, [(7, "a"), (8, "b")])).collect()] == [(2, 1)]
-    monkeypatch.setattr(L, "MAX_ITEM_CHARS", 3)
-    with pytest.raises(ValueError):
-        L.leaks(docs(spark, []), items(spark, [(1, "x " * 20)]))
+
+
+def test_more_items_than_are_broadcast_at_once(spark, monkeypatch):
+    its = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(30)]
+    ds = [(i, f"see {its[i][1]} here") for i in range(0, 30, 2)]
+    monkeypatch.setattr(L, "MAX_ITEM_CHARS", 400)
+    assert sorted((x.doc_id, x.item_id) for x in L.leaks(docs(spark, ds), items(spark, its)).collect()) == [(i, i) for i in range(0, 30, 2)]
+
+
+def test_many_hits_in_a_long_text_take_linear_time():
+    its = [(1, " ".join(f"q{k}" for k in range(20)))]
+    index = L.Items(its, 13, 0)
+    took = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        index.found("q0 q1 q2 q3 q4 q5 q6 stop " * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 3 * max(took[0], 0.01)

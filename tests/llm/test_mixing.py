@@ -38,7 +38,10 @@ def test_mix(spark):
     drawn = M.mix(docs(spark, rows), t).groupBy("source_name").agg(F.count("*").alias("n"), F.max("repeat").alias("r")).collect()
     n = {r.source_name: (r.n, r.r) for r in drawn}
     assert n["small"] == (63, 2) and abs(n["big_src"][0] - 450) < 70 and n["big_src"][1] == 0
-    assert {r.source_name for r in M.mix_shares(docs(spark, rows), t).collect()} == {"small", "big_src"}
+    held = {r.source_name: r for r in M.mix_shares(docs(spark, rows), t).collect()}
+    assert set(held) == {"small", "big_src", "none"} and held["none"].uses == 0 and held["small"].tokens == 600
+    assert abs(held["big_src"].actual_share - held["big_src"].planned_share) < 0.05
+    assert {(r.source_name, r.short, r.capped) for r in M.checked(docs(spark, rows), t).collect()} == {("small", True, True), ("big_src", False, True), ("none", False, True)}
 
 
 def test_empty(spark):
