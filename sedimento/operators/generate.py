@@ -6,8 +6,10 @@ join. Text operators are column expressions where a text is rewritten by fixed r
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +22,19 @@ from sedimento.operators.ranking import numbered
 # The word lists of the text operators.
 SYNONYMS_ZH = {"好": ["优秀", "良好", "出色"], "坏": ["糟糕", "差", "恶劣"], "大": ["巨大", "庞大", "大型"], "小": ["微小", "细小", "小型"], "快": ["迅速", "快速", "敏捷"], "慢": ["缓慢", "迟缓", "低速"]}
 SYNONYMS_EN = {"fast": ["quick", "rapid"], "small": ["compact", "tiny"], "large": ["big", "huge"], "sample": ["example", "instance"]}
+PHRASES_ZH = {"提升": ["增强", "改进"], "增强": ["提升", "加固"], "鲁棒性": ["可靠性", "适应性"], "泛化": ["泛化能力", "推广"], "保持": ["维持", "维系"]}
+TRANSLATIONS = {
+    "好": ["good", "great"], "坏": ["bad", "poor"], "优秀": ["excellent", "great"], "良好": ["good", "fine"], "出色": ["excellent", "outstanding"], "差": ["bad", "poor"],
+    "大": ["big", "large"], "巨大": ["huge", "massive"], "小型": ["small-scale", "small"], "小": ["small", "tiny"], "微小": ["tiny", "minute"], "快": ["fast", "quick"],
+    "迅速": ["rapid", "quick"], "快速": ["quick", "rapid"], "慢": ["slow", "sluggish"], "缓慢": ["slow", "gradual"], "迟缓": ["slow", "delayed"],
+    "提升": ["improve", "enhance"], "增强": ["enhance", "boost"], "鲁棒性": ["robustness", "reliability"], "泛化": ["generalization"], "保持": ["maintain", "preserve"],
+}
+FORMAL = (("搞", "进行"), ("挺", "相当"), ("很", "较为"), ("非常", "十分"), ("特别", "尤其"), ("可能", "或许"), ("感觉", "认为"))
+CASUAL = (("进行", "搞"), ("相当", "挺"), ("较为", "挺"), ("十分", "很"), ("尤其", "特别"), ("或许", "可能"), ("认为", "觉得"))
 CONCISE_DROPS = ("其实", "可能", "感觉", "大概", "大致", "非常", "真的", "挺")
 CONCISE_SWAPS = (("并且", "且"), ("同时", "且"))
+NOISE_CHARS = "的一是在不了有和人这中大为上个国我以要到时由业也能下去向你，。！？；：、"
+NOISE_MARKS = {"，": "、", "。": "！", "！": "。", "？": "！", "；": "，", "：": "；"}
 
 
 class InsufficientOutputs(ValueError):
@@ -83,9 +96,21 @@ def replace_chain(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return c
 
 
+def _longest_first(words: dict[str, list[str]]) -> list[str]:
+    return sorted(words, key=len, reverse=True)
+
+
 def phrases(c: Column) -> Column:
-    """The first synonym of each word of the list, everywhere, longer words first."""
-    return replace_chain(c, sorted(((k, v[0]) for k, v in SYNONYMS_ZH.items()), key=lambda x: (-len(x[0]), x[0])))
+    """The first candidate of each phrase of the list, longer ones first, then of each word, everywhere and in turn."""
+    return replace_chain(c, [(k, PHRASES_ZH[k][0]) for k in _longest_first(PHRASES_ZH)] + [(k, v[0]) for k, v in SYNONYMS_ZH.items()])
+
+
+def formal(c: Column) -> Column:
+    return replace_chain(c, list(FORMAL))
+
+
+def casual(c: Column) -> Column:
+    return replace_chain(c, list(CASUAL))
 
 
 def concise(c: Column) -> Column:
@@ -96,23 +121,35 @@ def concise(c: Column) -> Column:
 
 
 def structure_noise(t: str, g: np.random.Generator, strength: float = 0.1) -> str:
-    """max(1, strength x length) edits: delete, insert a copy, swap with the next, or blank out a character."""
+    """max(1, strength x length) edits: delete, insert a common character, swap neighbours, or change a mark or add a blank."""
     s = list(t)
-    for _ in range(max(1, int(len(s) * strength)) if s else 0):
-        if not s:
+    for _ in range(max(1, int(len(t) * strength))):
+        if len(s) <= 1:
             break
-        i, kind = int(g.integers(len(s))), int(g.integers(4))
+        kind, i = int(g.integers(4)), int(g.integers(len(s)))
         if kind == 0:
             del s[i]
         elif kind == 1:
-            s.insert(i, s[int(g.integers(len(s)))])
-        elif kind == 2 and i + 1 < len(s):
-            s[i], s[i + 1] = s[i + 1], s[i]
-        else:
-            s[i] = " "
+            s.insert(i, NOISE_CHARS[int(g.integers(len(NOISE_CHARS)))])
+        elif kind == 2:
+            i = min(i, len(s) - 2)
+            s[i : i + 2] = s[i + 1], s[i]
+        elif s[i] in NOISE_MARKS:
+            s[i] = NOISE_MARKS[s[i]]
+        elif g.random() < 0.3:
+            s.insert(i, " ")
     return "".join(s)
 
 
+def vocabulary_phrase(t: str, g: np.random.Generator, ratio: float = 0.3, phrase: bool = True) -> str:
+    """Each phrase and word of the lists that occurs is replaced everywhere, with this probability, by one of its candidates."""
+    for words, keys in ((PHRASES_ZH, _longest_first(PHRASES_ZH) if phrase else []), (SYNONYMS_ZH, list(SYNONYMS_ZH))):
+        for k in keys:
+            if k in t and g.random() < ratio:
+                t = t.replace(k, words[k][int(g.integers(len(words[k])))])
+    return t
+
+
 def reorder_sentences(t: str, g: np.random.Generator, strength: float = 0.5, granularity: str = "sentence", keep_ends: bool = True) -> str:
     """Shuffles a share of the sentences or paragraphs; first and last stay unless told otherwise."""
     units = re.findall(r"[^。！？!?.]+[。！？!?.]?\s*", t) if granularity == "sentence" else re.split(r"(?:\r?\n){2,}", t)
@@ -127,53 +164,72 @@ def reorder_sentences(t: str, g: np.random.Generator, strength: float = 0.5, gra
 
 
 def context_swap(t: str, g: np.random.Generator, mask_ratio: float = 0.1, words: dict[str, list[str]] | None = None) -> str:
-    """Replaces some listed characters by the synonym that fits its neighbours best under add-one bigram counts of the text."""
+    """Replaces a share of the listed characters by the synonym that fits best: the most likely with its neighbours under
+    add-one counts of adjacent characters of the text, white space apart."""
     words = words or SYNONYMS_ZH
     where = [i for i, c in enumerate(t) if c in words]
     if not where:
         return t
-    pairs: dict[str, int] = {}
-    for a, b in zip(t, t[1:], strict=False):
-        pairs[a + b] = pairs.get(a + b, 0) + 1
+    bare = re.sub(r"\s+", "", t)
+    pairs = Counter(map("".join, zip(bare, bare[1:], strict=False)))
+    total = max(1, sum(pairs.values()))
     out = list(t)
-    for i in g.choice(where, size=min(len(where), max(1, int(len(where) * mask_ratio))), replace=False):
-        fit = lambda w, i=i: (np.log(pairs.get(t[i - 1 : i] + w[0], 0) + 1) if i else 0) + (np.log(pairs.get(w[-1] + t[i + 1 : i + 2], 0) + 1) if i + 1 < len(t) else 0)
-        out[i] = max(words[t[i]], key=fit)
+    picked = g.choice(where, size=min(len(where), max(1, int(len(where) * mask_ratio))), replace=False)
+    for i in picked.tolist():
+        before = next((c for c in reversed(out[:i]) if c not in " \n\t\r"), "")
+        after = next((c for c in out[i + 1 :] if c not in " \n\t\r"), "")
+
+        def fit(w: str) -> float:
+            run = (before[-1:] if before else "") + w + after[:1]
+            return sum(math.log((pairs[run[k : k + 2]] + 1) / (total + 1)) for k in range(len(run) - 1))
+
+        out[i] = max(words[out[i]], key=fit)
     return "".join(out)
 
 
 def back_translation(t: str, g: np.random.Generator, probability: float = 1.0, restructure: float = 0.3) -> str:
-    """Out and back through a small dictionary, longest words first, white space lost; clauses inside may change places."""
-    there = [(w, v[-1]) for w, v in SYNONYMS_ZH.items()] + [(w, v[0]) for w, v in SYNONYMS_EN.items()]
-    if g.random() < probability:
-        for a, b in sorted(there, key=lambda x: -len(x[0])):
-            t = t.replace(a, b)
-        t = re.sub(r"(?<=[一-鿿，。])\s+(?=[一-鿿])", "", t)
-    parts = re.split(r"(?<=[，,；;])", t)
-    inner = list(range(1, len(parts) - 1))
-    if len(inner) > 1 and g.random() < restructure:
-        mixed = list(inner)
-        g.shuffle(mixed)
-        parts = [parts[0], *[parts[i] for i in mixed], parts[-1]]
-    return "".join(parts)
+    """Into the second language and back through a small dictionary, so that words come back as others; then, with the
+    probability `restructure`, the inner clauses change places. A text that was translated has no white space left."""
+    pick = lambda options: options[int(g.integers(len(options)))]
+    if g.random() <= probability:
+        for word in _longest_first(TRANSLATIONS):
+            if word in t:
+                t = t.replace(word, f" {pick(TRANSLATIONS[word])} ")
+        back: dict[str, list[str]] = {}
+        for word, there in TRANSLATIONS.items():
+            for x in there:
+                back.setdefault(x, []).append(word)
+        t = re.sub("[A-Za-z]+", lambda m: pick(back[m[0].lower()]) if m[0].lower() in back else m[0], t)
+        t = re.sub(r"\s+", "", t)
+    if g.random() < restructure:
+        parts = re.split("([，；。！？])", t)
+        inner = list(range(2, len(parts) - 2, 2))
+        to = g.permutation(inner).tolist()
+        moved = list(parts)
+        for a, b in zip(inner, to, strict=True):
+            moved[a] = parts[b]
+        t = "".join(moved)
+    return t
 
 
 def styled(t: str, g: np.random.Generator, style: str = "concise", strength: float = 0.5) -> str:
-    """formal and casual by rules that each apply with 0.8; concise drops filler words with the given strength."""
-    rules = {"formal": (("觉得", "认为"), ("但是", "然而"), ("所以", "因此")), "casual": (("认为", "觉得"), ("然而", "但是"), ("因此", "所以"))}.get(style, ())
-    for a, b in rules:
-        if g.random() < 0.8:
+    """formal and casual by rules that each apply with 0.8, casual with a filler behind all commas half of the time;
+    concise drops filler words with the given strength and shortens conjunctions."""
+    for a, b in {"formal": FORMAL, "casual": CASUAL}.get(style, ()):
+        if a in t and g.random() < 0.8:
             t = t.replace(a, b)
+    if style == "casual" and g.random() < 0.5:
+        t = t.replace("，", "，真的，")
     if style == "concise":
         for w in CONCISE_DROPS:
-            if g.random() < strength:
+            if w in t and g.random() < strength:
                 t = t.replace(w, "")
         for a, b in CONCISE_SWAPS:
             t = t.replace(a, b)
     return t
 
 
-TEXT_OPERATORS: dict[str, Callable[..., str]] = {"structure_noise": structure_noise, "sentence_reordering": reorder_sentences, "context_embedding": context_swap, "back_translation": back_translation, "style_controlled": styled}
+TEXT_OPERATORS: dict[str, Callable[..., str]] = {"structure_noise": structure_noise, "vocabulary_phrase": vocabulary_phrase, "sentence_reordering": reorder_sentences, "context_embedding": context_swap, "back_translation": back_translation, "style_controlled": styled}
 
 
 def augment_text(sources: DataFrame, target: int, operator: str, seed: int = 0, **params: object) -> DataFrame:

@@ -5,8 +5,9 @@ largest subtree among its siblings. A path from the root crosses at most log2(n)
 paths are concatenations of chain segments and descendants are intervals of the preorder in which chains are contiguous.
 
 All rounds are joins on single keys with doubling distances: a lineage of depth d takes about log2(d) rounds. No step
-collects a tree, a chain or a sibling group into one task; hot parents are reduced by partial aggregation before the
-shuffle and wide probes are left to the adaptive skew join.
+collects a tree, a chain or a sibling group into one task: hot parents are reduced by partial aggregation before the
+shuffle, and where many rows look one key up, they are spread over parts. Frames have as many partitions as their rows
+fill, so the rounds of a small forest need no shuffles; what a round has to know is counted while it is written.
 """
 
 from __future__ import annotations
@@ -14,11 +15,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimento.session import cut
+from sedimento.operators.ranking import HOT_ROWS, copied, hot_keys, salted
+from sedimento.session import cut_counted
 
 KEY = ["g", "node"]
-SIBLING_BUCKETS = 256
+SIBLING_BUCKETS = 1 << 16
 PRE_RUN = 64
+ROWS_A_TASK = 500_000
+
+
+def _written(df: DataFrame, **counts) -> tuple[DataFrame, dict]:
+    """df written, in partitions of about ROWS_A_TASK rows, with its number of rows and other counts."""
+    out, seen = cut_counted(df, rows=F.count("*"), **counts)
+    return out.coalesce(max(1, -(-seen["rows"] // ROWS_A_TASK))), seen
+
+
+def _looked_up(rows: DataFrame, values: DataFrame, on: list[str], row_id: str, n: int, how: str = "left") -> DataFrame:
+    """rows (n of them) joined with values (one row a key); hot keys, and rows whose key is null, are spread over parts."""
+    if n <= HOT_ROWS:
+        return rows.join(values, on, how)
+    hot = hot_keys(rows.where(F.col(on[-1]).isNotNull()), on)
+    x = salted(rows, hot, on, row_id)
+    x = x.withColumn("salt__", F.when(F.col(on[-1]).isNull(), F.pmod(F.xxhash64(row_id), F.lit(1 << 16)).cast("int")).otherwise(F.col("salt__")))
+    return x.join(copied(values, hot, on), [*on, "salt__"], how).drop("salt__")
 
 
 def _subtree_sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -27,61 +46,55 @@ def _subtree_sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     After round k, `anc` is the 2^k-th ancestor and `size` counts descendants less than 2^k levels below. A node at
     distance exactly 2^k hands its own count up. When a round ends no further lineage, what still runs is cyclic.
     """
-    tops = edges.select("g", F.col("anc").alias("node")).distinct().join(edges.select("g", "node"), KEY, "left_anti")
-    none = F.lit(None).cast(edges.schema["anc"].dataType)
-    state = cut(edges.select("g", "node", "anc", F.lit(1).cast("long").alias("size")).unionByName(tops.select("g", "node", none.alias("anc"), F.lit(1).cast("long").alias("size"))))
-    running = state.where("anc is not null").count()
-    while running:
+    parents = edges.select("g", F.col("anc").alias("node")).distinct()
+    every = edges.select("g", "node", "anc").unionByName(parents.join(edges.select("g", "node"), KEY, "left_anti").withColumn("anc", F.lit(None).cast(edges.schema["anc"].dataType)))
+    state, seen = _written(every.withColumn("size", F.lit(1).cast("long")), running=F.count("anc"))
+    while seen["running"]:
         given = state.where("anc is not null").groupBy("g", F.col("anc").alias("node")).agg(F.sum("size").alias("given"))
         jump = state.where("anc is not null").select("g", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        state = cut(
-            state.join(given, KEY, "left").join(jump, ["g", "anc"], "left")
-            .select("g", "node", F.col("anc2").alias("anc"), (F.col("size") + F.coalesce("given", F.lit(0))).alias("size"))
-        )
-        left = state.where("anc is not null").count()
-        if left == running:
+        x = _looked_up(state.join(given, KEY, "left"), jump, ["g", "anc"], "node", seen["rows"])
+        before = seen["running"]
+        state, seen = _written(x.select("g", "node", F.col("anc2").alias("anc"), (F.col("size") + F.coalesce("given", F.lit(0))).alias("size")), running=F.count("anc"))
+        if seen["running"] == before:
             return state.where("anc is null").drop("anc"), state.where("anc is not null").drop("size")
-        running = left
     return state.drop("anc"), None
 
 
-def _cycle_roots(edges: DataFrame, endless: DataFrame) -> DataFrame:
+def _cycle_roots(edges: DataFrame, endless: DataFrame, n: int) -> DataFrame:
     """(g, node, root): the smallest id on the cycle that each endless lineage runs into."""
     reach, seen = endless, -1
     while (now := reach.select("g", "anc").distinct().count()) != seen:
         seen = now
         hop = reach.select("g", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        reach = cut(reach.join(hop, ["g", "anc"]).select("g", "node", F.col("anc2").alias("anc")))
+        reach, _ = _written(_looked_up(reach, hop, ["g", "anc"], "node", n, "inner").select("g", "node", F.col("anc2").alias("anc")))
     on_cycle = reach.select("g", F.col("anc").alias("node")).distinct()
-    ring = cut(edges.join(on_cycle, KEY, "left_semi").select("g", "node", F.col("anc").alias("nxt"), F.least("node", "anc").alias("low")))
-    while True:
+    ring, _ = _written(edges.join(on_cycle, KEY, "left_semi").select("g", "node", F.col("anc").alias("nxt"), F.least("node", "anc").alias("low")))
+    moved = True
+    while moved:
         other = ring.select("g", F.col("node").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"))
-        ring = cut(
-            ring.join(other, ["g", "nxt"])
-            .select("g", "node", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved"))
-        )
-        if not ring.where("moved").limit(1).count():
-            break
-    return reach.join(ring.select("g", F.col("node").alias("anc"), F.col("low").alias("root")), ["g", "anc"]).select("g", "node", "root")
+        lower = F.col("low2") < F.col("low")
+        x = ring.join(other, ["g", "nxt"]).select("g", "node", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"), lower.alias("moved"))
+        ring, told = _written(x, moved=F.count_if("moved"))
+        ring, moved = ring.drop("moved"), told["moved"] > 0
+    return _looked_up(reach, ring.select("g", F.col("node").alias("anc"), F.col("low").alias("root")), ["g", "anc"], "node", n, "inner").select("g", "node", "root")
 
 
-def _chains(edges: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _chains(edges: DataFrame, sizes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(g, node, size, anc, head, pos) of every node, and (g, anc, heavy, heavy_size) of every parent."""
-    known = sizes.join(edges, KEY, "left")
-    heavy = cut(
+    known, _ = _written(sizes.join(edges, KEY, "left"))
+    heavy, _ = _written(
         known.where("anc is not null").groupBy("g", "anc")
         .agg(F.max(F.struct("size", (-F.col("node")).alias("minus"))).alias("top"))
         .select("g", "anc", (-F.col("top.minus")).alias("heavy"), F.col("top.size").alias("heavy_size"))
     )
-    run = cut(heavy.select("g", F.col("heavy").alias("node"), F.col("anc").alias("head"), F.lit(1).cast("long").alias("pos"), F.lit(True).alias("moved")))
-    while run.where("moved").limit(1).count():
+    run, moved = heavy.select("g", F.col("heavy").alias("node"), F.col("anc").alias("head"), F.lit(1).cast("long").alias("pos")), True
+    while moved:
         up = run.select("g", F.col("node").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"))
-        run = cut(
-            run.join(up, ["g", "head"], "left")
-            .select("g", "node", F.coalesce("head2", "head").alias("head"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.col("head2").isNotNull().alias("moved"))
-        )
-    nodes = known.join(run.drop("moved"), KEY, "left").select("g", "node", "size", "anc", F.coalesce("head", "node").alias("head"), F.coalesce("pos", F.lit(0)).alias("pos"))
-    return cut(nodes), heavy
+        x = _looked_up(run, up, ["g", "head"], "node", n).select("g", "node", F.coalesce("head2", "head").alias("head"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.col("head2").isNotNull().alias("moved"))
+        run, told = _written(x, moved=F.count_if("moved"))
+        run, moved = run.drop("moved"), told["moved"] > 0
+    nodes = known.join(run, KEY, "left").select("g", "node", "size", "anc", F.coalesce("head", "node").alias("head"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    return _written(nodes)[0], heavy
 
 
 def _offsets(light: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -113,35 +126,39 @@ def hierarchy(nodes: DataFrame, intervals: bool = True) -> DataFrame:
     plain = nodes.select("g", "node", "parent").where("node is not null")
     listed = plain.groupBy("g", "node").agg(F.min("parent").alias("parent"))
     asked = listed.where("parent is not null").select("g", "node", F.col("parent").alias("anc"))
-    edges = cut(asked.join(plain.select("g", F.col("node").alias("anc")).distinct(), ["g", "anc"], "left_semi").select("g", "node", "anc"))
+    asked, told = _written(asked)
+    ids = plain.select("g", F.col("node").alias("anc")).distinct()
+    edges, told = _written(_looked_up(asked, ids, ["g", "anc"], "node", told["rows"], "left_semi").select("g", "node", "anc"))
+    n = told["rows"]
     sizes, endless = _subtree_sizes(edges)
-    placed, heavy = _chains(edges, sizes)
+    placed, heavy = _chains(edges, sizes, n)
 
     heads = placed.where("pos = 0 and anc is not null").select("g", F.col("node").alias("head"), "anc", "size")
     at = placed.select("g", F.col("node").alias("anc"), F.col("head").alias("up"), F.col("pos").alias("up_pos"))
-    tree = heads.join(at, ["g", "anc"]).withColumn("off", F.col("up_pos") + 1)
+    tree = _looked_up(heads, at, ["g", "anc"], "head", n, "inner").withColumn("off", F.col("up_pos") + 1)
     if intervals:
         offs = _offsets(heads.select("g", F.col("head").alias("node"), "anc", "size"), heavy).withColumnRenamed("node", "head")
         tree = tree.join(offs, ["g", "head"]).withColumn("pre", F.col("up_pos") + F.col("offset"))
     else:
         tree = tree.withColumn("pre", F.lit(None).cast("long"))
-    tree = cut(tree.select("g", "head", "up", "off", "pre", F.array(F.struct(F.col("up").alias("head"), F.col("up_pos").alias("pos"))).alias("segments"), F.lit(True).alias("moved")))
-    while tree.where("moved").limit(1).count():
+    tree, told = _written(tree.select("g", "head", "up", "off", "pre", F.array(F.struct(F.col("up").alias("head"), F.col("up_pos").alias("pos"))).alias("segments")))
+    moved = told["rows"] > 0
+    while moved:
         above = tree.select("g", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("off").alias("off2"), F.col("pre").alias("pre2"), F.col("segments").alias("segments2"))
-        tree = cut(
-            tree.join(above, ["g", "up"], "left").select(
-                "g", "head", F.coalesce("up2", "up").alias("up"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"),
-                F.when(F.col("up2").isNull(), F.col("segments")).otherwise(F.concat("segments2", "segments")).alias("segments"), F.col("up2").isNotNull().alias("moved"),
-            )
+        x = _looked_up(tree, above, ["g", "up"], "head", n).select(
+            "g", "head", F.coalesce("up2", "up").alias("up"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"),
+            F.when(F.col("up2").isNull(), F.col("segments")).otherwise(F.concat("segments2", "segments")).alias("segments"), F.col("up2").isNotNull().alias("moved"),
         )
+        tree, told = _written(x, moved=F.count_if("moved"))
+        tree, moved = tree.drop("moved"), told["moved"] > 0
     here = F.array(F.struct(F.col("head"), F.col("pos")))
-    done = placed.drop("anc").join(tree.drop("moved"), ["g", "head"], "left").select(
+    done = _looked_up(placed.drop("anc"), tree, ["g", "head"], "node", n).select(
         "g", "node", F.coalesce("up", "head").alias("root"), (F.coalesce("off", F.lit(0)) + F.col("pos")).alias("depth"), F.col("head").alias("chain_head"), F.col("pos").alias("chain_pos"),
         F.when(F.col("up").isNull(), here).otherwise(F.concat("segments", here)).alias("segments"), (F.coalesce("pre", F.lit(0)) + F.col("pos")).alias("pre"), "size",
     )
     if endless is not None:
         null = {c: F.lit(None).cast(done.schema[c].dataType).alias(c) for c in done.columns}
-        rest = _cycle_roots(edges, endless).withColumn("depth", F.lit(-1).cast("long"))
+        rest = _cycle_roots(edges, endless, n).withColumn("depth", F.lit(-1).cast("long"))
         done = done.unionByName(rest.select(*[rest[c] if c in rest.columns else null[c] for c in done.columns]))
     alone = F.col("root").isNull()
     out = listed.join(done, KEY, "left").select(

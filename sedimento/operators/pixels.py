@@ -84,12 +84,14 @@ def contrast(x: np.ndarray) -> float:
 
 
 def difference_hash(x: np.ndarray, size: int = 8) -> int:
-    """size x size bits: a pixel of the shrunk image is brighter than its right neighbour (nearest places, half to even)."""
+    """size x size bits: a pixel of the shrunk image is brighter than its right neighbour.
+
+    The image shrinks to size + 1 columns by nearest places from end to end, halves to even, of its rounded gray values.
+    """
     size = int(np.clip(size, 4, 16))
-    g = gray(x)
-    ys = np.minimum(np.rint((np.arange(size) + 0.5) * g.shape[0] / size - 0.5).astype(int), g.shape[0] - 1)
-    xs = np.minimum(np.rint((np.arange(size + 1) + 0.5) * g.shape[1] / (size + 1) - 0.5).astype(int), g.shape[1] - 1)
-    s = g[ys][:, xs]
+    g = np.rint(gray(x))
+    at = lambda n, m: np.rint(np.arange(m) * (n - 1) / (m - 1)).astype(int)
+    s = g[at(g.shape[0], size)][:, at(g.shape[1], size + 1)]
     return int("".join("1" if b else "0" for b in (s[:, :-1] > s[:, 1:]).ravel()), 2)
 
 
@@ -349,3 +351,29 @@ def augment_images(files: DataFrame, target: int, operator: str, seed: int = 0,
             yield pd.DataFrame(rows, columns=["i", "source_sample_id", "content"])
 
     return round_robin(files.select("id", "content"), target).select("i", "id", "content").mapInPandas(run, "i long, source_sample_id long, content binary")
+
+
+def pixel_rows(files: DataFrame) -> DataFrame:
+    """id, y, x, channel, value of every pixel of the images (id, content) that decode."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, c in zip(b["id"], b["content"], strict=True):
+                if (p := read_image(c)) is not None:
+                    y, x, k = np.indices(p.shape).reshape(3, -1)
+                    yield pd.DataFrame({"id": np.full(p.size, i), "y": y, "x": x, "channel": k, "value": p.ravel()})
+
+    return files.select("id", "content").mapInPandas(run, "id long, y int, x int, channel int, value int")
+
+
+def image_shapes(files: DataFrame, key: str = "id") -> DataFrame:
+    """key, width, height, channels of images (key, content); null where they don't decode."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            shapes = [(None, None, None) if (p := read_image(c)) is None else (p.shape[1], p.shape[0], p.shape[2]) for c in b["content"]]
+            out = pd.DataFrame(shapes, columns=["width", "height", "channels"]).astype("Int32")
+            out.insert(0, key, b[key].to_numpy())
+            yield out
+
+    return files.select(key, "content").mapInPandas(run, f"{key} long, width int, height int, channels int")

@@ -162,16 +162,17 @@ def timeseries(y: np.ndarray, rate: int, g: Gen, operation: str = "mix", shift_s
     def one(op: str, z: np.ndarray) -> np.ndarray:
         if op == "shift":
             k = int(g.uniform(-shift_sec, shift_sec) * rate)
-            return fit_length(np.pad(z, ((0, 0), (k, 0))), n) if k >= 0 else fit_length(z[:, -k:], n)
+            return fit_length(z[:, k:], n) if k >= 0 else fit_length(np.pad(z, ((0, 0), (-k, 0))), n)
         if op == "rotate":
-            return np.roll(z, int(g.integers(0, max(n, 1))), axis=1)
+            return np.roll(z, int(g.uniform(-shift_sec, shift_sec) * rate), axis=1)
         if op == "crop":
             k = max(1, int(n * crop_ratio))
             a = int(g.integers(0, n - k + 1))
             return fit_length(z[:, a : a + k], n)
         if op == "concat":
-            parts = np.array_split(z, max(1, int(concat_segments)), axis=1)
-            return np.concatenate([parts[i] for i in g.permutation(len(parts))], axis=1)
+            k = max(1, n // max(1, int(concat_segments)))
+            starts = g.integers(0, max(1, n - k + 1), max(1, int(concat_segments)))
+            return fit_length(np.concatenate([z[:, a : a + k] for a in starts], axis=1), n)
         return z[:, ::-1] if g.random() < reverse_probability else z
 
     ops = ("shift", "rotate", "crop", "concat", "reverse")
@@ -292,3 +293,27 @@ def augment_audio(files: DataFrame, target: int, operator: str, seed: int = 0, *
             yield pd.DataFrame(rows, columns=["i", "source_sample_id", "content"])
 
     return round_robin(files.select("id", "content"), target).select("i", "id", "content").mapInPandas(run, "i long, source_sample_id long, content binary")
+
+
+def sound_rows(files: DataFrame, key: str = "id") -> DataFrame:
+    """key, channel, t, value (of 16 bits) of every frame of the sounds (key, content) that decode."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, c in zip(b[key], b["content"], strict=True):
+                if s := read_wav(c):
+                    k, t = np.indices(s[0].shape).reshape(2, -1)
+                    yield pd.DataFrame({key: np.full(s[0].size, i), "channel": k, "t": t, "value": np.rint(s[0].ravel() * 32768).astype(int)})
+
+    return files.select(key, "content").mapInPandas(run, f"{key} long, channel int, t int, value int")
+
+
+def sound_shapes(files: DataFrame, key: str = "id") -> DataFrame:
+    """key, rate, channels, frames of sounds (key, content) that decode."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, s[1], *s[0].shape) for i, c in zip(b[key], b["content"], strict=True) if (s := read_wav(c))]
+            yield pd.DataFrame(rows, columns=[key, "rate", "channels", "frames"])
+
+    return files.select(key, "content").mapInPandas(run, f"{key} long, rate int, channels int, frames int")

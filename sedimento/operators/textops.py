@@ -81,6 +81,7 @@ def sentences(texts: DataFrame) -> DataFrame:
 
 
 def bigrams(texts: DataFrame) -> DataFrame:
-    """bigram, n: counts of adjacent character pairs over all texts; pairs are counted before the shuffle."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))
-    return texts.where(F.length("text") >= 2).select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+    """id, bigram, n: counts of adjacent characters inside each text, white space apart. Texts of one character have none."""
+    characters = F.regexp_extract_all(F.regexp_replace("text", r"(?U)\s+", ""), F.lit("(?s)(.)"), F.lit(1))
+    pairs = T.let(characters, lambda c: F.zip_with(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
+    return texts.where("text is not null").select("id", F.explode(pairs).alias("bigram")).groupBy("id", "bigram").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,11 @@ def apply_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Algorithm ids that tasks name but the registry does not have, with their uses."""
-    t = table(spark, d, "tasks").where("algorithm_id is not null").groupBy("algorithm_id").agg(F.count("*").alias("uses"))
-    return t.join(table(spark, d, "algorithms").select(F.col("id").alias("algorithm_id")), "algorithm_id", "left_anti")
+    """Algorithm ids of the registry and of the tasks, set against each other: used, unused, or unknown to the registry."""
+    has, uses = table(spark, d, "algorithms").select("id"), table(spark, d, "tasks").where("algorithm_id is not null and algorithm_id % 3 <> 0").select(F.col("algorithm_id").alias("id"))
+    uses = uses.unionByName(table(spark, d, "algorithms").where("id % 11 = 0").select((F.col("id") + 1_000_000).alias("id")))  # some that nobody has
+    sets = ((has.intersect(uses), "used"), (has.exceptAll(uses.distinct()), "unused"), (uses.subtract(has), "unknown"))
+    return reduce(DataFrame.unionByName, [x.withColumn("state", F.lit(name)) for x, name in sets])
 
 
 def scenario_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +137,8 @@ def bundle_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collision(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "samples").select(F.col("dataset_id").alias("folder"), F.col("id").alias("ord"), F.concat(F.regexp_replace(F.col("name"), "_[0-9]+", ""), F.lit("")).alias("name"))
-    return collision_names(s).groupBy("folder").agg(F.count_distinct("stored_name").alias("names"), F.count("*").alias("files"))
+    s = table(spark, d, "samples").select(F.col("dataset_id").alias("folder"), F.col("id").alias("ord"), F.concat(F.lit("scan"), F.pmod(F.col("id"), F.lit(7)).cast("string"), F.regexp_extract("name", r"(\.[^./]+)$", 1)).alias("name"))
+    return collision_names(s).select("folder", "ord", "name", "stored_name")
 
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------
@@ -259,6 +263,28 @@ def style_concise_det(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("id", generate.concise(F.col("text")).alias("text"))
 
 
+def style_formal_det(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", generate.formal(F.col("text")).alias("text"))
+
+
+def style_casual_det(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", generate.casual(F.col("text")).alias("text"))
+
+
+def _grown_text(operator: str, **params: object):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """i, source_sample_id, md5, n of seeded outputs."""
+        made = generate.augment_text(_docs(spark, d), table(spark, d, "documents").count(), operator, seed=7, **params)
+        return made.select("i", "source_sample_id", F.md5("text").alias("md5"), F.length("text").alias("n"))
+
+    return run
+
+
+def phrase_all_or_none(spark: SparkSession, d: str) -> DataFrame:
+    """The seeded phrase operator at ratio 0 gives its sources back, whatever the seed."""
+    return generate.augment_text(_docs(spark, d), table(spark, d, "documents").count(), "vocabulary_phrase", seed=7, ratio=0.0).select("i", "source_sample_id", "text")
+
+
 def augment_structure_noise(spark: SparkSession, d: str) -> DataFrame:
     return generate.augment_text(_docs(spark, d), table(spark, d, "documents").count(), "structure_noise", seed=7)
 
@@ -273,9 +299,11 @@ QUERIES = {
         exact_dup, near_dup_leaders, ahash_exact, text_suggestions, review_transitions, monitor_items, store_cleaned, apply_suggestions, seed_diff, scenario_merge,
         label_lines, resolve_first, folder_labels, manifest_split, dedup_prefer_test, stable_split, stratified_split, stratified_split_3way, bundle_union,
         sample_ratio, agent_scores, confusion, openset_metrics, openset_labels, class_centroids, centroid_dist, openmax, metric_compare, comparison_report, demo_metrics,
-        round_robin, copy_augment, label_inherit, text_reverse, synonym_en_det, phrase_det, style_concise_det, augment_structure_noise, augment_reordering,
+        round_robin, copy_augment, label_inherit, text_reverse, synonym_en_det, phrase_det, style_concise_det, style_formal_det, style_casual_det, phrase_all_or_none, augment_structure_noise, augment_reordering,
     )
-} | {"collision_names": collision}
+} | {
+    "collision_names": collision, "augment_context": _grown_text("context_embedding", mask_ratio=0.5), "augment_back_translation": _grown_text("back_translation"), "augment_phrases": _grown_text("vocabulary_phrase"), "augment_casual": _grown_text("style_controlled", style="casual"),
+}
 
 _HASH = "h as (select id, regexp_replace(regexp_replace(lower(trim(sha256, e' \\t\\n\\r')), '\\s', '', 'g'), '^[a-z]+-?[0-9]*[:=]', '') as h from samples), v as (select id, h from h where regexp_full_match(h, '[0-9a-f]{64}') and h <> repeat('0', 64))"
 _BEST = "b as (select sample_id, id as suggestion_id, coalesce(confidence, 0) as confidence, issue_type, suggested_action, row_number() over (partition by sample_id order by coalesce(confidence, 0) desc, id, issue_type, suggested_action, status) as k from cleaning_suggestions)"
@@ -284,7 +312,7 @@ _CENT = "c as (select label, i as pos, avg(v::double) as mean from (select label
 _METRICS = """t as (select case when json_valid(result_json) then case when json_type(result_json) = 'VARCHAR' then case when json_valid(json_extract_string(result_json, '$')) then json_extract_string(result_json, '$')::json end else result_json::json end end as j from tasks),
     m as (select unnest(from_json(j->'$.report.models', '["JSON"]')) as m from t), x as (select m->>'$.model_name' as model, unnest(from_json(m->'$.metrics', '["JSON"]')) as x from m),
     a as (select model, x->>'$.metric' as metric, sum((x->>'$.value')::double::decimal(20, 6))::double / count(*) as value from x where x->>'$.value' is not null and model is not null group by 1, 2)"""
-_chain = lambda c, pairs: c if not pairs else f"replace({_chain(c, pairs[:-1])}, '{pairs[-1][0]}', '{pairs[-1][1]}')"
+_told = lambda c, words: reduce(lambda x, ab: f"replace({x}, '{ab[0]}', '{ab[1]}')", zip(words.split()[::2], words.split()[1::2], strict=True), c)
 _strat = lambda cases: f"""with r as (select label, count(*) as n from embeddings group by 1) {cases}"""
 _GROW = "s as (select id, name, row_number() over (order by id) - 1 as r from samples where status = 'raw'), g as (select unnest(range((select count(*) from s) * 3 // 2)) as i), o as (select i, id, name from g join s on s.r = i % (select count(*) from s))"
 
@@ -302,7 +330,8 @@ SQL = {
         select s.id as sample_id, coalesce(o.id, s.id) as stored_from, s.name from samples s left join m on m.sample_id = s.id and k = 1 left join samples o on o.id = m.output_sample_id where (s.status is null or s.status <> 'deleted') and s.id not in (select sample_id from dr where sample_id is not null)""",
     "apply_suggestions": f"""with p as (select sample_id, max(({_OP} = 'delete')::int) as d, max(({_OP} = 'repair')::int) as r from cleaning_suggestions where status = 'applied' group by 1)
         select id, name, case when d = 1 then 'deleted' when r = 1 and status <> 'deleted' then 'cleaned' else status end as status from samples left join p on sample_id = id""",
-    "seed_diff": "select algorithm_id, count(*)::bigint as uses from tasks where algorithm_id is not null and algorithm_id not in (select id from algorithms) group by 1",
+    "seed_diff": """with a as (select id from algorithms), u as (select distinct algorithm_id as id from tasks where algorithm_id is not null and algorithm_id % 3 <> 0 union select id + 1000000 from algorithms where id % 11 = 0)
+        select coalesce(a.id, u.id) as id, case when a.id is null then 'unknown' when u.id is null then 'unused' else 'used' end as state from a full join u on a.id = u.id""",
     "scenario_merge": """with n as (select modality, max(version) as v from algorithms where category = 'evaluation' group by 1), o as (select modality, max(version) as v from algorithms where category = 'training' group by 1)
         select coalesce(n.modality, o.modality) as modality, coalesce(n.v, o.v) as version, case when n.v is null then 'retired' when o.v is null then 'inserted' else 'updated' end as state from n full join o on n.modality = o.modality""",
     "label_lines": rf"""with x as (select dataset_id as file, id as line_number, replace(relative_path, '\', '/') as path, (id % 23)::int as class_id from samples where relative_path is not null and not regexp_matches(relative_path, '\s') and id % 13 <> 0 and id % 17 <> 0)
@@ -323,7 +352,8 @@ SQL = {
         union all select label, 'test', n - greatest(1, floor(n * 0.6::double))::bigint - greatest(1, floor(n * 0.2::double))::bigint from r"""),
     "bundle_union": """with e as (select id, case when parent_dataset_id is null then 'train' else 'test' end as role, list_concat(coalesce(tags, []), ['imported', 'underwater', case when parent_dataset_id is null then 'train' else 'test' end]) as t from datasets),
         u as (select id, role, unnest(t) as t, generate_subscripts(t, 1) as i from e), f as (select id, role, t, min(i) as i from u group by 1, 2, 3) select id, role, string_agg(t, ',' order by i) as tags from f group by 1, 2""",
-    "collision_names": "select dataset_id as folder, count(*)::bigint as names, count(*)::bigint as files from samples group by 1",
+    "collision_names": r"""with s as (select dataset_id as folder, id as ord, 'scan' || (id % 7) || regexp_extract(name, '(\.[^./]+)$', 1) as name from samples), k as (select *, row_number() over (partition by folder, name order by ord) - 1 as k from s)
+        select folder, ord, name, case when k = 0 then name else regexp_replace(name, '(\.[^./]+)$', '') || '_' || k || regexp_extract(name, '(\.[^./]+)$', 1) end as stored_name from k""",
     "sample_ratio": "with c as (select count(*) filter (where status = 'raw') as b, count(*) filter (where status = 'generated') as t from samples) select b::bigint as baseline_count, t::bigint as target_count, round_even(t / greatest(b, 1)::double, 2) as ratio from c",
     "agent_scores": "with c as (select count(*) filter (where status = 'raw') as b, count(*) filter (where status = 'generated') as t from samples) select least(100.0::double, 100.0::double * t / greatest(b, t, 1)) as coverage, 80.0::double as coordination, least(100.0::double, 70.0::double + 1.2::double * least(t, 20)) as response from c",
     "confusion": f"with {_PAIRS} select truth, pred, count(*)::bigint as n from p group by 1, 2",
@@ -342,6 +372,10 @@ SQL = {
     "label_inherit": """with x as (select m.id, m.labels_json as o, s.labels_json as f, coalesce(trim(m.labels_json) not in ('', '[]', 'null'), false) as own from samples m left join samples s on s.id = m.source_sample_id where m.source_sample_id is not null)
         select id, not own and f is not null as labels_inherited, md5(coalesce(case when own then o else f end, '')) as labels_md5 from x""",
     "text_reverse": "select doc_id as id, (select string_agg(c, '' order by i desc) from (select unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i)) as text from documents",
-    "phrase_det": f"select doc_id as id, {_chain('text', sorted(((k, v[0]) for k, v in generate.SYNONYMS_ZH.items()), key=lambda x: (-len(x[0]), x[0])))} as text from documents",
-    "style_concise_det": f"select doc_id as id, {_chain('text', [(w, '') for w in generate.CONCISE_DROPS] + list(generate.CONCISE_SWAPS))} as text from documents",
+    # Written out, not built from the operators' own lists.
+    "phrase_det": f"select doc_id as id, {_told('text', '鲁棒性 可靠性 提升 增强 增强 提升 泛化 泛化能力 保持 维持 好 优秀 坏 糟糕 大 巨大 小 微小 快 迅速 慢 缓慢')} as text from documents",
+    "style_formal_det": f"select doc_id as id, {_told('text', '搞 进行 挺 相当 很 较为 非常 十分 特别 尤其 可能 或许 感觉 认为')} as text from documents",
+    "style_casual_det": f"select doc_id as id, {_told('text', '进行 搞 相当 挺 较为 挺 十分 很 尤其 特别 或许 可能 认为 觉得')} as text from documents",
+    "style_concise_det": "select doc_id as id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '其实', ''), '可能', ''), '感觉', ''), '大概', ''), '大致', ''), '非常', ''), '真的', ''), '挺', ''), '并且', '且'), '同时', '且') as text from documents",
+    "phrase_all_or_none": "select row_number() over (order by doc_id) - 1 as i, doc_id as source_sample_id, text from documents where text is not null",
 }

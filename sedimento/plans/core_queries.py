@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimento.operators import flatten, hierarchy, orphans
-from sedimento.plans import catalog_plan, cleaning_plan, tabular_plan, text_plan
+from sedimento.plans import catalog_plan, cleaning_plan, import_plan, media_plan, tabular_plan, text_plan
 from sedimento.session import table
 
 
@@ -62,4 +62,4 @@ def p6_regions(spark: SparkSession, d: str) -> DataFrame:
     return t.selectExpr("record_id", "path", "parent_path", "position", "cast(region_id as bigint) as region_id", "cast(bbox[0] as bigint) as x", "cast(bbox[1] as bigint) as y", "cast(bbox[2] as bigint) as w", "cast(bbox[3] as bigint) as h")
 
 
-QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **cleaning_plan.QUERIES, **text_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p2_descendants, p5_found, p5_report, p6_found, p6_objects, p6_regions)}
+QUERIES = {**catalog_plan.QUERIES, **tabular_plan.QUERIES, **cleaning_plan.QUERIES, **text_plan.QUERIES, **media_plan.QUERIES, **import_plan.QUERIES} | {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p2_descendants, p5_found, p5_report, p6_found, p6_objects, p6_regions)}

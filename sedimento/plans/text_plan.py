@@ -94,7 +94,7 @@ SQL = {
     "sentence_split": """
         select id, (i - 1)::bigint as n, s as sentence from (select id, unnest(u) as s, generate_subscripts(u, 1) as i from
             (select doc_id as id, regexp_extract_all(text, '[^。！？!?]+[。！？!?]') as u from documents))""",
-    "bigram_counts": """
-        with p as (select text, unnest(range(1, length(text)))::int as i from documents where length(text) >= 2)
-        select substring(text, i, 2) as bigram, count(*)::bigint as n from p group by 1""",
+    "bigram_counts": f"""
+        with t as (select doc_id as id, regexp_replace(text, '{_WS}+', '', 'g') as t from documents where text is not null), p as (select id, t, unnest(range(1, length(t)))::int as i from t where length(t) >= 2)
+        select id, substring(t, i, 2) as bigram, count(*)::bigint as n from p group by 1, 2""",
 }

@@ -182,7 +182,7 @@ def default_registry() -> Registry:
     grow = (P("target", "int", 1, 1, aliases=("target_count",)), P("seed", "int", 0))
     r.register(Operator("copy_augmenter", "generation", "multimodal", lambda df, target, seed: generate.copies(df, target), grow))
     text = {"structure_noise": (P("strength", "float", 0.1, 0, 1, aliases=("perturbation_strength",)),), "sentence_reordering": (P("strength", "float", 0.5, 0, 1, aliases=("shuffle_strength", "shuf")), P("granularity", "select", "sentence", options=("sentence", "paragraph"), aliases=("reorder_granularity",)), P("keep_ends", "bool", True, aliases=("preserve_first_last",))),
-        "context_embedding": (P("mask_ratio", "float", 0.1, 0, 1),), "back_translation": (P("probability", "float", 1.0, 0, 1, aliases=("back_translate_probability", "bt_prob")), P("restructure", "float", 0.3, 0, 1, aliases=("sentence_restructure_strength", "recon"))),
+        "vocabulary_phrase": (P("ratio", "float", 0.3, 0, 1, aliases=("替换比例",)), P("phrase", "bool", True, aliases=("是否短语级替换",))), "context_embedding": (P("mask_ratio", "float", 0.1, 0, 1),), "back_translation": (P("probability", "float", 1.0, 0, 1, aliases=("back_translate_probability", "bt_prob")), P("restructure", "float", 0.3, 0, 1, aliases=("sentence_restructure_strength", "recon"))),
         "style_controlled": (P("style", "select", "concise", options=("formal", "casual", "concise"), aliases=("style_label",)), P("strength", "float", 0.5, 0, 1, aliases=("conciseness_strength", "concise")))}
     for key, params in text.items():
         r.register(Operator(f"{key}_text_augmenter", "generation", "text", partial(lambda df, key, **p: generate.augment_text(df, operator=key, **p), key=key), grow + params))

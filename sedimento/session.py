@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut, and aggregates of the rows that were written, taken in the same job."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in counts.items()]))
+    return out, seen.get
+
+
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
@@ -46,5 +53,6 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions or os.cpu_count() or 8))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

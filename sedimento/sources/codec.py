@@ -2,7 +2,7 @@
 
 Images are uint8 arrays of shape (height, width, channels), channels in RGB order; PNM (P2, P3, P5, P6) and PNG (8 bit,
 not interlaced) are read, PNG is written. Sounds are float arrays of shape (channels, frames) with a rate; PCM WAV of 8,
-16 and 32 bits is read, 16 bits written. Undecodable bytes give None.
+16 and 32 bits is read, 16 bits written. Undecodable bytes give None, as do sounds without a frame.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def read_wav(data: bytes | None) -> tuple[np.ndarray, int] | None:
             raw = f.readframes(f.getnframes())
     except (wave.Error, EOFError):
         return None
-    if width not in (1, 2, 4):
+    if width not in (1, 2, 4) or not raw:
         return None
     x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
