@@ -145,19 +145,58 @@ def row_function(f: Callable[[dict], dict | None], schema: str) -> Callable[...,
     return run
 
 
-def load_user_operator(spark: SparkSession, path: str, name: str = "run") -> Callable:
-    """The function of a user's file, shipped to the executors as well."""
+def _user_module(path: str):
     spec = importlib.util.spec_from_file_location("user_operator", path)
-    if spec is None or spec.loader is None:
+    if spec is None or spec.loader is None or not path.lower().endswith(".py"):
         raise NotFound(path)
     module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
+    try:
+        spec.loader.exec_module(module)
+    except FileNotFoundError as e:
+        raise NotFound(path) from e
+    except ImportError as e:
+        raise MissingDependency(f"{path}: {e}") from e
+    except Exception as e:
+        raise OperatorError(f"{path}: {e}") from e
+    return module
+
+
+def load_user_operator(spark: SparkSession, path: str, name: str = "run") -> Callable:
+    """The function of a user's file, shipped to the executors as well."""
+    module = _user_module(path)
     if not callable(getattr(module, name, None)):
         raise ValidationError(f"{path} has no function {name}")
     spark.sparkContext.addPyFile(path)
     return getattr(module, name)
 
 
+def user_parameters(path: str) -> tuple[Parameter, ...]:
+    """The parameters that a user's file declares in PARAMETERS: a list of objects with name, type and default, and,
+    where wanted, label, min, max, options, required and aliases. Numbers that are given as texts are read by their type."""
+    declared = getattr(_user_module(path), "PARAMETERS", None)
+    if not isinstance(declared, list):
+        raise ValidationError(f"{path} has no list PARAMETERS")
+    out = []
+    for n, item in enumerate(declared):
+        if not isinstance(item, dict) or (missing := [k for k in ("name", "type", "default") if k not in item]):
+            raise ValidationError(f"{path}: parameter {n} lacks {', '.join(missing) if isinstance(item, dict) else 'everything'}")
+        kind = str(item["type"])
+        for bound in ("min", "max"):
+            if kind in ("int", "float") and item.get(bound) is not None and not isinstance(item[bound], int | float):
+                raise ValidationError(f"{path}: {bound} of parameter {n} is no number")
+        p = Parameter(str(item["name"]), kind, item["default"], item.get("min"), item.get("max"), tuple(map(str, item.get("options") or ())), tuple(item.get("aliases") or ()), bool(item.get("required", False)))
+        default = p.read({p.name: item["default"]}) if item["default"] not in (None, "") else item["default"]
+        out.append(Parameter(p.name, kind, default, p.low, p.high, p.options, p.aliases, p.required))
+    return tuple(out)
+
+
+def register_user_operator(registry: Registry, spark: SparkSession, key: str, path: str, category: str, modality: str, schema: str) -> Operator:
+    """Register the run function of a user's file, one row in and one row of the schema or none out, with its parameters."""
+    op = Operator(key, category, modality, row_function(load_user_operator(spark, path), schema), user_parameters(path))
+    registry.register(op)
+    return op
+
+
 def default_registry() -> Registry:
     """The built-in operators with their parameters, defaults, ranges and aliases."""
     from functools import partial

@@ -1,7 +1,6 @@
-"""File sources: lists and folders of files as sample rows, by the distributed `binaryFile` source.
+"""File sources: folders of files as sample rows, names, types, tables and texts.
 
-Contents stay in the executors: hashes, sizes and types are computed where a file is read, and column pruning leaves the
-content out where only names are asked for. `max_bytes` guards tasks against single huge files.
+Contents stay in the executors: hashes and sizes are computed where a file is read, and listings read no contents.
 """
 
 from __future__ import annotations
@@ -19,9 +18,6 @@ MIME = {
     ".mp4": "video/mp4", ".avi": "video/x-msvideo", ".mov": "video/quicktime", ".zip": "application/zip",
 }
 IMAGE_EXT = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".webp", ".tif", ".tiff")
-CONTROL_FILES = ("dataset_manifest.json", "manifest.json", "labels.txt", "annotations.txt", "train_abs.txt", "kfold_train.txt", "kfold_val.txt")
-MAX_BYTES = 1 << 30
-SAMPLE = "name string, relative_path string, file_path string, extension string, mime_type string, size_bytes bigint, sha256 string"
 
 
 def extension(path: Column) -> Column:
@@ -37,30 +33,18 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/*", "/")
 
 
-def scan_folder(spark: SparkSession, root: str, recursive: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row for each file below root but the control files; class_name is the first folder, null in the root itself.
+def scan_folder(spark: SparkSession, root: str, recursive: bool = True, skip: tuple[str, ...] = ("dataset_manifest.json",)) -> DataFrame:
+    """One row for each file below root but those to skip; class_name is the first folder, null in the root itself.
 
-    Files above max_bytes are an error.
+    Files are listed without being read, then read in pieces for their hash, so they may be of any size.
     """
+    from sedimento.sources.imports import as_samples, read_files
+
     base = os.path.abspath(root).rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
-    rel = F.substring(_plain(F.col("path")), F.lit(len(base) + 2), F.lit(1 << 20))
-    if too_large := [r[0] for r in files.where(F.col("length") > max_bytes).select("path").limit(10).collect()]:
-        raise ValueError(f"files above {max_bytes} bytes: {too_large}")
-    x = files.select(rel.alias("relative_path"), _plain(F.col("path")).alias("file_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-    x = x.withColumn("name", F.element_at(F.split("relative_path", "/"), -1)).where(~F.col("name").isin(*CONTROL_FILES))
-    return x.select("name", "relative_path", "file_path", extension(F.col("name")).alias("extension"), mime(F.col("name")).alias("mime_type"), "size_bytes", "sha256", F.when(F.instr("relative_path", "/") > 0, F.split("relative_path", "/")[0]).alias("class_name"))
-
-
-def import_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[dict]]:
-    """(rows, errors): the files of a list that exist, in list order, and {path, reason} for the others."""
-    there = [p for p in paths if os.path.isfile(p)]
-    errors = [{"path": p, "reason": "missing_file"} for p in paths if p not in set(there)]
-    if not there:
-        return spark.createDataFrame([], SAMPLE), errors
-    x = spark.read.format("binaryFile").load(list(dict.fromkeys(os.path.abspath(p) for p in there)))
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    return x.select(name.alias("name"), name.alias("relative_path"), _plain(F.col("path")).alias("file_path"), extension(name).alias("extension"), mime(name).alias("mime_type"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")), errors
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
+    x = listed.select(_plain(F.col("path")).alias("path")).withColumn("relative_path", F.substring("path", len(base) + 2, 1 << 20))
+    x = as_samples(read_files(x.where(~F.element_at(F.split("relative_path", "/"), -1).isin(*skip))))
+    return x.drop("status").withColumn("class_name", F.when(F.instr("relative_path", "/") > 0, F.split("relative_path", "/")[0]))
 
 
 def collision_names(files: DataFrame) -> DataFrame:
@@ -82,14 +66,18 @@ def collision_names(files: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A csv or json table; None for other kinds or what cannot be read (no reader for spreadsheets is at hand)."""
+    """A csv or json table; None for other kinds (no reader for spreadsheets is at hand) and for files that do not read as one."""
+    from pyspark.errors import AnalysisException
+
     try:
         if path.lower().endswith(".csv"):
             return spark.read.csv(path, header=True, inferSchema=True)
         if path.lower().endswith(".json"):
-            return spark.read.json(path, multiLine=True)
-    except Exception:  # noqa: BLE001
-        return None
+            x = spark.read.json(path, multiLine=True)
+            return None if x.columns == ["_corrupt_record"] else x
+    except AnalysisException as e:  # a path that isn't there is an error, a content that has no table isn't
+        if "PATH_NOT_FOUND" in str(e):
+            raise
     return None
 
 

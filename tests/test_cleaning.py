@@ -140,13 +140,25 @@ def test_collisions_and_files(spark, tmp_path):
     assert len({(("e" if k == 5 else "d"), v) for k, v in got.items()}) == 5 and got[1] == "x.txt" and got[3] == "x_1.txt" and got[5] == "x.txt"
     (tmp_path / "part-a").mkdir()
     (tmp_path / "part-a" / "s.txt").write_text("hello")
-    (tmp_path / "labels.txt").write_text("skip")
+    (tmp_path / "dataset_manifest.json").write_text("skip")
     (tmp_path / "top.png").write_bytes(b"x")
     rows = {r.relative_path: r for r in files.scan_folder(spark, str(tmp_path)).collect()}
     assert set(rows) == {"part-a/s.txt", "top.png"} and rows["part-a/s.txt"].class_name == "part-a" and rows["top.png"].class_name is None
     assert rows["part-a/s.txt"].sha256 == "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
-    found, errors = files.import_files(spark, [str(tmp_path / "top.png"), "/no/such"])
-    assert [r.name for r in found.collect()] == ["top.png"] and errors == [{"path": "/no/such", "reason": "missing_file"}]
+    assert [r.name for r in files.scan_folder(spark, str(tmp_path), recursive=False).collect()] == ["top.png"]
+
+
+def test_tables_of_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
+    for kind in ("csv", "json"):
+        files.write_table(df, str(tmp_path / f"t.{kind}"), kind)
+        assert sorted((r.id, r.name) for r in files.read_table(spark, str(tmp_path / f"t.{kind}")).select("id", "name").collect()) == [(1, "a"), (2, None)]
+    (tmp_path / "bad.json").write_text("{broken")
+    assert files.read_table(spark, str(tmp_path / "bad.json")) is None and files.read_table(spark, str(tmp_path / "t.xlsx")) is None
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_table(spark, str(tmp_path / "none.csv"))
+    raw = spark.createDataFrame([(bytearray("é".encode()),), (bytearray("é".encode("latin-1")),), (None,)], "b binary")
+    assert [r[0] for r in raw.select(files.decode_text(F.col("b"))).collect()] == ["é", "é", None]
 
 
 def test_streams(spark, tmp_path):
@@ -159,11 +171,8 @@ def test_streams(spark, tmp_path):
     assert [r.sample_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
 
 
-def test_bounds_are_errors_or_absent(spark, tmp_path):
+def test_there_are_no_bounds(spark):
     many = spark.range(100_003).select("id", F.col("id").alias("label"))
     assert evaluate.openset_labels(many, many, 5).count() == 100_003
     report = evaluate.comparison_report(spark.range(1001).selectExpr("string(id) as metric", "1d as baseline", "2d as enhanced", "100d as improvement"))
     assert len(report.splitlines()) == 1002 and report.endswith("+100.00 %: clearly better")
-    (tmp_path / "big.txt").write_text("hello")
-    with pytest.raises(ValueError, match="big.txt"):
-        files.scan_folder(spark, str(tmp_path), max_bytes=4)
