@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimento.operators.ranking import HOT_ROWS, copied, hot_keys, salted
-from sedimento.session import cut_counted
+from sedimento.session import cut_counted, release
 
 KEY = ["g", "node"]
 SIBLING_BUCKETS = 1 << 16
@@ -26,74 +26,96 @@ ROWS_A_TASK = 500_000
 
 def _written(df: DataFrame, **counts) -> tuple[DataFrame, dict]:
     """df written, in partitions of about ROWS_A_TASK rows, with its number of rows and other counts."""
-    out, seen = cut_counted(df, rows=F.count("*"), **counts)
-    return out.coalesce(max(1, -(-seen["rows"] // ROWS_A_TASK))), seen
+    table, seen = cut_counted(df, rows=F.count("*"), **counts)
+    out = table.coalesce(max(1, -(-seen["rows"] // ROWS_A_TASK)))
+    out.written_to = table.written_to
+    return out, seen
 
 
 def _looked_up(rows: DataFrame, values: DataFrame, on: list[str], row_id: str, n: int, how: str = "left") -> DataFrame:
     """rows (n of them) joined with values (one row a key); hot keys, and rows whose key is null, are spread over parts."""
     if n <= HOT_ROWS:
         return rows.join(values, on, how)
-    hot = hot_keys(rows.where(F.col(on[-1]).isNotNull()), on)
+    hot = hot_keys(rows.where(F.col(on[-1]).isNotNull()), on, HOT_ROWS)
     x = salted(rows, hot, on, row_id)
     x = x.withColumn("salt__", F.when(F.col(on[-1]).isNull(), F.pmod(F.xxhash64(row_id), F.lit(1 << 16)).cast("int")).otherwise(F.col("salt__")))
     return x.join(copied(values, hot, on), [*on, "salt__"], how).drop("salt__")
 
 
-def _subtree_sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(g, node, size) of every node whose lineage ends, and (g, node, anc) of those that never reach a root.
+def _subtree_sizes(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """(g, node, parent, size) of every node whose lineage ends, and (g, node, anc, low) of those that never reach a root.
 
-    After round k, `anc` is the 2^k-th ancestor and `size` counts descendants less than 2^k levels below. A node at
-    distance exactly 2^k hands its own count up. When a round ends no further lineage, what still runs is cyclic.
+    After round k, `anc` is the 2^k-th ancestor, `size` counts descendants less than 2^k levels below and `low` is the
+    smallest id of the node and its 2^k - 1 next ancestors. A node at distance exactly 2^k hands its own count up. When a
+    round ends no further lineage, what still runs is cyclic.
     """
-    parents = edges.select("g", F.col("anc").alias("node")).distinct()
-    every = edges.select("g", "node", "anc").unionByName(parents.join(edges.select("g", "node"), KEY, "left_anti").withColumn("anc", F.lit(None).cast(edges.schema["anc"].dataType)))
-    state, seen = _written(every.withColumn("size", F.lit(1).cast("long")), running=F.count("anc"))
-    while seen["running"]:
+    none = F.lit(None).cast(edges.schema["anc"].dataType)
+    tops = edges.select("g", F.col("anc").alias("node")).distinct().join(edges.select("g", "node"), KEY, "left_anti").withColumn("anc", none)
+    state = edges.select("g", "node", "anc").unionByName(tops.select("g", "node", "anc")).select("g", "node", F.col("anc").alias("parent"), "anc", F.lit(1).cast("long").alias("size"), F.col("node").alias("low"))
+    running = n
+    while running:
         given = state.where("anc is not null").groupBy("g", F.col("anc").alias("node")).agg(F.sum("size").alias("given"))
-        jump = state.where("anc is not null").select("g", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        x = _looked_up(state.join(given, KEY, "left"), jump, ["g", "anc"], "node", seen["rows"])
-        before = seen["running"]
-        state, seen = _written(x.select("g", "node", F.col("anc2").alias("anc"), (F.col("size") + F.coalesce("given", F.lit(0))).alias("size")), running=F.count("anc"))
-        if seen["running"] == before:
-            return state.where("anc is null").drop("anc"), state.where("anc is not null").drop("size")
-    return state.drop("anc"), None
-
-
-def _cycle_roots(edges: DataFrame, endless: DataFrame, n: int) -> DataFrame:
-    """(g, node, root): the smallest id on the cycle that each endless lineage runs into."""
-    reach, seen = endless, -1
-    while (now := reach.select("g", "anc").distinct().count()) != seen:
-        seen = now
-        hop = reach.select("g", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        reach, _ = _written(_looked_up(reach, hop, ["g", "anc"], "node", n, "inner").select("g", "node", F.col("anc2").alias("anc")))
-    on_cycle = reach.select("g", F.col("anc").alias("node")).distinct()
-    ring, _ = _written(edges.join(on_cycle, KEY, "left_semi").select("g", "node", F.col("anc").alias("nxt"), F.least("node", "anc").alias("low")))
+        hop = state.where("anc is not null").select("g", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
+        x = _looked_up(state.join(given, KEY, "left"), hop, ["g", "anc"], "node", n)
+        x = x.select("g", "node", "parent", F.col("anc2").alias("anc"), (F.col("size") + F.coalesce("given", F.lit(0))).alias("size"), F.least("low", "low2").alias("low"))
+        before, old = running, state
+        state, told = _written(x, running=F.count("anc"))
+        running = told["running"]
+        release(old)
+        if running == before:
+            return state.where("anc is null").drop("anc", "low"), state.where("anc is not null").drop("size", "parent")
+    return state.drop("anc", "low"), None
+
+
+def _cycle_roots(endless: DataFrame, n: int) -> DataFrame:
+    """(g, node, root): the smallest id on the cycle that each endless lineage runs into.
+
+    Doubling goes on until the set of ancestors, which shrinks to the cycles, and the smallest ids stay as they are: then
+    every ancestor is on its cycle, and its smallest id is that of the cycle.
+    """
+    on_way, moved = -1, True
+    while (now := endless.select("g", "anc").distinct().count()) != on_way or moved:
+        on_way = now
+        hop = endless.select("g", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
+        x = _looked_up(endless, hop, ["g", "anc"], "node", n, "inner")
+        x = x.select("g", "node", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved"))
+        old = endless
+        endless, told = _written(x, moved=F.count_if("moved"))
+        release(old)
+        moved = told["moved"] > 0
+    return _looked_up(endless, endless.select("g", F.col("node").alias("anc"), F.col("low").alias("root")), ["g", "anc"], "node", n, "inner").select("g", "node", "root")
+
+
+def _doubled(run: DataFrame, step, n: int) -> DataFrame:
+    """run (any frame with what step needs) after rounds of step until none moves a row any more.
+
+    step(run) doubles all distances and says in `moved` which rows got further. Small frames are doubled twice a round.
+    """
     moved = True
     while moved:
-        other = ring.select("g", F.col("node").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"))
-        lower = F.col("low2") < F.col("low")
-        x = ring.join(other, ["g", "nxt"]).select("g", "node", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"), lower.alias("moved"))
-        ring, told = _written(x, moved=F.count_if("moved"))
-        ring, moved = ring.drop("moved"), told["moved"] > 0
-    return _looked_up(reach, ring.select("g", F.col("node").alias("anc"), F.col("low").alias("root")), ["g", "anc"], "node", n, "inner").select("g", "node", "root")
+        x = step(step(run).drop("moved")) if n <= HOT_ROWS else step(run)
+        old = run
+        run, told = _written(x, moved=F.count_if("moved"))
+        release(old)
+        moved = told["moved"] > 0
+    return run.drop("moved")
 
 
-def _chains(edges: DataFrame, sizes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def _chains(known: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(g, node, size, anc, head, pos) of every node, and (g, anc, heavy, heavy_size) of every parent."""
-    known, _ = _written(sizes.join(edges, KEY, "left"))
     heavy, _ = _written(
-        known.where("anc is not null").groupBy("g", "anc")
+        known.where("parent is not null").groupBy("g", F.col("parent").alias("anc"))
         .agg(F.max(F.struct("size", (-F.col("node")).alias("minus"))).alias("top"))
         .select("g", "anc", (-F.col("top.minus")).alias("heavy"), F.col("top.size").alias("heavy_size"))
     )
-    run, moved = heavy.select("g", F.col("heavy").alias("node"), F.col("anc").alias("head"), F.lit(1).cast("long").alias("pos")), True
-    while moved:
+
+    def step(run: DataFrame) -> DataFrame:
         up = run.select("g", F.col("node").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"))
-        x = _looked_up(run, up, ["g", "head"], "node", n).select("g", "node", F.coalesce("head2", "head").alias("head"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.col("head2").isNotNull().alias("moved"))
-        run, told = _written(x, moved=F.count_if("moved"))
-        run, moved = run.drop("moved"), told["moved"] > 0
-    nodes = known.join(run, KEY, "left").select("g", "node", "size", "anc", F.coalesce("head", "node").alias("head"), F.coalesce("pos", F.lit(0)).alias("pos"))
+        x = _looked_up(run, up, ["g", "head"], "node", n)
+        return x.select("g", "node", F.coalesce("head2", "head").alias("head"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.col("head2").isNotNull().alias("moved"))
+
+    run = _doubled(heavy.select("g", F.col("heavy").alias("node"), F.col("anc").alias("head"), F.lit(1).cast("long").alias("pos")), step, n)
+    nodes = known.join(run, KEY, "left").select("g", "node", "size", F.col("parent").alias("anc"), F.coalesce("head", "node").alias("head"), F.coalesce("pos", F.lit(0)).alias("pos"))
     return _written(nodes)[0], heavy
 
 
@@ -130,8 +152,8 @@ def hierarchy(nodes: DataFrame, intervals: bool = True) -> DataFrame:
     ids = plain.select("g", F.col("node").alias("anc")).distinct()
     edges, told = _written(_looked_up(asked, ids, ["g", "anc"], "node", told["rows"], "left_semi").select("g", "node", "anc"))
     n = told["rows"]
-    sizes, endless = _subtree_sizes(edges)
-    placed, heavy = _chains(edges, sizes, n)
+    known, endless = _subtree_sizes(edges, n)
+    placed, heavy = _chains(known, n)
 
     heads = placed.where("pos = 0 and anc is not null").select("g", F.col("node").alias("head"), "anc", "size")
     at = placed.select("g", F.col("node").alias("anc"), F.col("head").alias("up"), F.col("pos").alias("up_pos"))
@@ -141,16 +163,16 @@ def hierarchy(nodes: DataFrame, intervals: bool = True) -> DataFrame:
         tree = tree.join(offs, ["g", "head"]).withColumn("pre", F.col("up_pos") + F.col("offset"))
     else:
         tree = tree.withColumn("pre", F.lit(None).cast("long"))
-    tree, told = _written(tree.select("g", "head", "up", "off", "pre", F.array(F.struct(F.col("up").alias("head"), F.col("up_pos").alias("pos"))).alias("segments")))
-    moved = told["rows"] > 0
-    while moved:
+    tree, _ = _written(tree.select("g", "head", "up", "off", "pre", F.array(F.struct(F.col("up").alias("head"), F.col("up_pos").alias("pos"))).alias("segments")))
+
+    def step(tree: DataFrame) -> DataFrame:
         above = tree.select("g", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("off").alias("off2"), F.col("pre").alias("pre2"), F.col("segments").alias("segments2"))
-        x = _looked_up(tree, above, ["g", "up"], "head", n).select(
+        return _looked_up(tree, above, ["g", "up"], "head", n).select(
             "g", "head", F.coalesce("up2", "up").alias("up"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"),
             F.when(F.col("up2").isNull(), F.col("segments")).otherwise(F.concat("segments2", "segments")).alias("segments"), F.col("up2").isNotNull().alias("moved"),
         )
-        tree, told = _written(x, moved=F.count_if("moved"))
-        tree, moved = tree.drop("moved"), told["moved"] > 0
+
+    tree = _doubled(tree, step, n)
     here = F.array(F.struct(F.col("head"), F.col("pos")))
     done = _looked_up(placed.drop("anc"), tree, ["g", "head"], "node", n).select(
         "g", "node", F.coalesce("up", "head").alias("root"), (F.coalesce("off", F.lit(0)) + F.col("pos")).alias("depth"), F.col("head").alias("chain_head"), F.col("pos").alias("chain_pos"),
@@ -158,7 +180,7 @@ def hierarchy(nodes: DataFrame, intervals: bool = True) -> DataFrame:
     )
     if endless is not None:
         null = {c: F.lit(None).cast(done.schema[c].dataType).alias(c) for c in done.columns}
-        rest = _cycle_roots(edges, endless, n).withColumn("depth", F.lit(-1).cast("long"))
+        rest = _cycle_roots(endless, n).withColumn("depth", F.lit(-1).cast("long"))
         done = done.unionByName(rest.select(*[rest[c] if c in rest.columns else null[c] for c in done.columns]))
     alone = F.col("root").isNull()
     out = listed.join(done, KEY, "left").select(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -19,21 +21,51 @@ def checkpoint_dir(spark: SparkSession) -> str:
     machine's own folder is lost with it.
     """
     sc = spark.sparkContext
-    now = sc.getCheckpointDir()
+    now = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if now is None:
-        now = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if now is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            now = f"file://{tempfile.mkdtemp(prefix='sedimento-')}"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        now = f"file://{tempfile.mkdtemp(prefix='sedimento-')}"
         sc.setCheckpointDir(now)
     return now
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_runs: dict[str, str] = {}
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """The folder of this program's written tables; it is removed when the program ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{checkpoint_dir(spark).rstrip('/')}/sedimento-{uuid.uuid4().hex}"
+
+        def clean(path: str = _runs[app]) -> None:
+            try:
+                _delete(spark, path)
+            except Exception:  # noqa: BLE001 the session has ended before
+                pass
+
+        atexit.register(clean)
+    return _runs[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: iterative plans stay short."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a written table in the shared folder: what follows reads it, so plans stay short and lost executors lose nothing.
+
+    A table also tells the optimizer its true size; plans that go on from a checkpoint multiply the sizes that were
+    estimated before, which doubles the digits of that number in every round of an iteration.
+    """
+    path = f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -43,6 +75,13 @@ def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, i
     return out, seen.get
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `cut` that no plan will read again: finished rounds of an iteration."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            _delete(t.sparkSession, path)
+
+
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
@@ -53,6 +92,5 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions or os.cpu_count() or 8))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

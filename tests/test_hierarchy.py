@@ -76,3 +76,13 @@ def test_empty(spark):
     assert H.hierarchy(frame(spark, [(1, None)]).where("false")).collect() == []
     assert [(x.root, x.depth) for x in H.hierarchy(frame(spark, [(1, None), (2, 77)])).orderBy("node").collect()] == [(1, 0), (2, 0)]
     assert H.hierarchy(frame(spark, [(2, 77)])).select(F.col("size")).first()[0] == 1
+
+
+def test_hot_parents_and_many_partitions(spark, monkeypatch):
+    """A parent of many children, one long chain and a cycle with tails, with bounds so low that all of it is spread."""
+    monkeypatch.setattr(H, "HOT_ROWS", 12)
+    monkeypatch.setattr(H, "ROWS_A_TASK", 40)
+    links = [(1, None)] + [(i, 1) for i in range(2, 60)] + [(i, i - 1) for i in range(101, 140)] + [(100, 1), (201, 203), (202, 201), (203, 202)] + [(i, 201 + i % 3) for i in range(210, 240)]
+    _, want = brute(links)
+    rows = H.hierarchy(frame(spark, links), intervals=False).collect()
+    assert {x.node: (x.root, x.depth) for x in rows} == want and len(rows) == len(want)
