@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sedimento.functions import reading
 from sedimento.operators.ranking import HOT_ROWS, attach, copied, hot_keys, salted
-from sedimento.session import cut
+from sedimento.session import cut, release
 
 MAX_SPLITS = 1000
 GIANT = 200  # a group with more than a GIANT-th of all samples is placed by its size: fewer than GIANT groups
@@ -31,8 +31,10 @@ def components(links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         joined = attach(pairs, low, "v", "u", hot_rows, counted="n")
         if not joined.where("v <> m and u <> m").limit(1).count():
             return low.select(F.col("v").alias("node"), F.col("m").alias("component"))
+        old = pairs
         up = joined.select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")), F.struct(F.col("m").alias("v"), F.col("v").alias("u")))).alias("x"))
         pairs = cut(up.select("x.v", "x.u").where("v <> u").distinct())
+        release(old, low)
 
 
 def facts(samples: DataFrame) -> DataFrame:
