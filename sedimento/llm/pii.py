@@ -178,30 +178,75 @@ NOT_NAMES = frozenset("The This That These Those All Each Every Both Our My Your
 _FULL = rf"(?:(?:[A-ZÀ-Þ]\.{_SP}?){{1,2}}|{_CAP}{_SP}(?:[A-ZÀ-Þ]\.{_SP})?)(?:(?:van|von|de|da|del|di|der|den|la|le|bin|al|el){_SP})*{_CAP}(?:{_SP}{_CAP})?"
 _ONE = rf"(?:{_FULL}|{_CAP})"
 _TITLED = r"(?:(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|M|Monsieur|Madame|Captain|Capt)\.?[  ]{1,2})"
+PAIR = re.compile(rf"(?<![\w.'’\-])(?:{_FULL})")
+_WORDS = re.compile(rf"[A-ZÀ-Þ]\.|{_CAP}|[a-z]+")
+TITLES = frozenset("ms mrs mr miss dr prof herr herrn frau mme mlle m monsieur madame captain capt".split())
 # Words of the contexts.
-FIELD = re.compile(
-    rf"(?:^|(?<=[\n\r.;,|(\[] )|(?<=[\n\r;|(\[]))[ \t>*\-]*(?:Author|From|To|Cc|Bcc|By|Name|Full name|Contact|Contact person|Owner|Reviewer|Annotator|Operator|Editor|Sender|Recipient|Attn|Signed|Signed by|Prepared by|Reported by|Reviewed by|Approved by|Written by|Maintainer|Supervisor|Assignee|Inspector|Analyst"
-    rf"|Verfasser|Verfasserin|Autor|Autorin|Bearbeiter|Bearbeiterin|Ansprechpartner|Ansprechpartnerin|Absender|Empfänger|Prüfer|Prüferin|Von|An|Auteur|Autrice|Nom|Expéditeur|Destinataire|Responsable|Relecteur|Relectrice|De|À)[  ]?[:：][  ]{{0,2}}{_TITLED}?(?P<n>{_FULL})(?=[  ]*(?:$|[\n\r<(,;.|\])]))", re.M
+FIELDS = frozenset(
+    "author|from|to|cc|bcc|by|name|full name|contact|contact person|owner|reviewer|annotator|operator|editor|sender|recipient|attn|signed|signed by|prepared by|reported by|reviewed by|approved by|written by|maintainer|supervisor|assignee|inspector|analyst"
+    "|verfasser|verfasserin|autor|autorin|bearbeiter|bearbeiterin|ansprechpartner|ansprechpartnerin|absender|empfänger|prüfer|prüferin|von|an|auteur|autrice|nom|expéditeur|destinataire|responsable|relecteur|relectrice|de|à".split("|")
 )
-SALUTATION = re.compile(rf"(?:^|(?<=[\n\r.!?] )|(?<=[\n\r]))[ \t>]*(?:Dear|Hi|Hello|Hey|Good morning|Bonjour|Salut|Cher|Chère|Hallo|Liebe|Lieber|Guten Tag|Sehr geehrter|Sehr geehrte),?[  ]{{1,2}}{_TITLED}?(?P<n>{_ONE})(?=[  ]?[,!:]|[  ]*[\n\r])", re.M)
-CLOSING = re.compile(rf"(?:[Rr]egards|[Ww]ishes|[Ss]incerely|[Bb]est|[Cc]heers|[Tt]hanks|Thank you|Grüße|Grüßen|Gruß|Merci|Cordialement|Bien à vous),?[ \t]*\r?\n[ \t]*{_TITLED}?(?P<n>{_FULL})[ \t]*(?=[\r\n]|$)")
-TITLED = re.compile(rf"(?<![\w.])(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Monsieur|Madame|Captain|Capt)(?:\.|(?=[  ]))[  ]{{1,2}}{_TITLED}*(?P<n>{_ONE})")
-DONE_BY = re.compile(rf"[  ](?:by|von|par|By|BY)[  ]{{1,2}}{_TITLED}?(?P<n>{_FULL})")
-DONE = re.compile(
-    r"\b(?:written|reviewed|corrected|approved|signed|prepared|checked|confirmed|reported|drawn|labell?ed|annotated|recorded|entered|sent|edited|verified|uploaded|submitted|supplied|taken|collected"
-    r"|erstellt|geprüft|bearbeitet|gezeichnet|freigegeben|kontrolliert|gemeldet|bestätigt|aufgenommen|(?:relu|rédigé|vérifié|corrigé|validé|signé|approuvé|annoté|envoyé|saisi)e?s?)\Z", re.I
-)
-DONE_TO = re.compile(
-    rf"\b(?:[Cc]all|[Cc]ontact|[Ee]mail|[Aa]sk|[Tt]ell|[Tt]hank|[Pp]ing|[Nn]otify|[Ii]nform|[Pp]hone|cc|[Tt]hanks to|[Tt]hank you|[Ss]poke (?:to|with)|[Ss]peak (?:to|with)|[Tt]alk(?:ed)? (?:to|with)|[Mm]et(?: with)?|[Ww]rote to|[Ww]rite to|[Aa]ccording to|[Ll]aut|[Ss]elon|[Pp]révenir|[Cc]ontacter|[Cc]ontactez|[Dd]emandez à|[Ff]ragen Sie)[  ]{{1,2}}{_TITLED}?(?P<n>{_FULL})(?P<m>[  ](?:and|or|und|oder|et|ou)[  ]{_FULL})?"
+DONE = frozenset(
+    "written reviewed corrected approved signed prepared checked confirmed reported drawn labelled labeled annotated recorded entered sent edited verified uploaded submitted supplied taken collected"
+    " erstellt geprüft bearbeitet gezeichnet freigegeben kontrolliert gemeldet bestätigt aufgenommen relu rédigé vérifié corrigé validé signé approuvé annoté envoyé saisi relue rédigée vérifiée corrigée validée signée approuvée annotée envoyée saisie".split()
 )
+DONE_TO = frozenset("call contact email ask tell thank ping notify inform phone cc met laut selon prévenir contacter contactez".split())
+DONE_TO_2 = frozenset(map(tuple, (x.split() for x in "thanks to|thank you|spoke to|spoke with|speak to|speak with|talk to|talk with|talked to|talked with|met with|wrote to|write to|according to|demandez à|fragen sie".split("|"))))
+AND = frozenset("and or und oder et ou".split())
 DOES = re.compile(
-    rf"(?<![\w.'’\-])(?P<n>{_FULL})[  ](?=(?:said|says|wrote|writes|asked|asks|called|calls|replied|replies|told|signed|phoned|emailed|explained|thinks|insisted|complained|resigned|apologised|apologized|sagte|sagt|schrieb|schreibt|fragte|fragt|rief|meinte|antwortete|unterschrieb|a dit|a écrit|a signé|a appelé|a répondu|a demandé|a confirmé|a relu|a corrigé|dit que|écrit que)\b)"
-)
-# Each with parts of words, one of which stands in every text that it can match in.
-GENERAL = (
-    (FIELD, (": ", ":\t", "：", ":  ")), (SALUTATION, ("Dear", "Hi", "Hello", "Hey", "Good morning", "Bonjour", "Salut", "Ch", "Hallo", "Lieb", "Guten", "Sehr ge")), (CLOSING, ("egards", "ishes", "incerely", "est", "heers", "hank", "Gr", "Merci", "Cordialement", "Bien ")),
-    (TITLED, ("M", "Dr", "Prof", "Herr", "Frau", "Capt")), (DONE_BY, (" by ", " von ", " par ", " by\xa0", " von\xa0", " par\xa0", " BY ", " By ")), (DONE_TO, ("all", "act", "ail", "sk ", "ell ", "hank", "ing ", "otify", "nform", "one ", "cc ", "po", "et ", "te to", "ccording", "aut ", "elon ", "rév", "mandez", "ragen")), (DOES, ()),
+    r"[  ](?:said|says|wrote|writes|asked|asks|called|calls|replied|replies|told|signed|phoned|emailed|explained|thinks|insisted|complained|resigned|apologised|apologized|sagte|sagt|schrieb|schreibt|fragte|fragt|rief|meinte|antwortete|unterschrieb|a dit|a écrit|a signé|a appelé|a répondu|a demandé|a confirmé|a relu|a corrigé|dit que|écrit que)\b"
 )
+FIELD_END = re.compile(r"[  ]*(?:$|[\n\r<(,;.|\])])")
+LINE_END = re.compile(r"[ \t]*(?:[\r\n]|$)")
+CLOSING = re.compile(r"(?:[Rr]egards|[Ww]ishes|[Ss]incerely|[Bb]est|[Cc]heers|[Tt]hanks|Thank you|Grüße|Grüßen|Gruß|Merci|Cordialement|Bien à vous),?[ \t]*\r?\n[ \t]*\Z")
+SALUTATION = re.compile(rf"(?:^|(?<=[\n\r.!?] )|(?<=[\n\r]))[ \t>]*(?:Dear|Hi|Hello|Hey|Good morning|Bonjour|Salut|Cher|Chère|Hallo|Liebe|Lieber|Guten Tag|Sehr geehrter|Sehr geehrte),?[  ]{{1,2}}{_TITLED}?(?P<n>{_ONE})(?=[  ]?[,!:]|[  ]*[\n\r])", re.M)
+SALUTATIONS = ("Dear", "Hi ", "Hi,", "Hello", "Hey", "Good morning", "Bonjour", "Salut", "Cher", "Chère", "Hallo", "Liebe", "Guten Tag", "Sehr geehrte")
+TITLED = re.compile(rf"(?<![\w.])(?:Ms|Mrs|Mr|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Monsieur|Madame|Captain|Capt)(?:\.|(?=[  ]))[  ]{{1,2}}{_TITLED}*(?P<n>{_ONE})")
+TITLED_PARTS = ("Ms", "Mr", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Capt")
+
+
+def _in_context(t: str, a: int, b: int, joined: bool) -> bool:
+    """Whether a full name at t[a:b] stands where persons do. joined: an `and` leads to it from one that does."""
+    line = max(t.rfind("\n", 0, a), t.rfind("\r", 0, a)) + 1
+    # The words of the contexts are short: this much holds the longest of them and a title.
+    before = t[max(line, a - 60) : a]
+    if DOES.match(t, b):
+        return True
+    words = before.split()
+    while words and words[-1].rstrip(".").lower() in TITLES:
+        words.pop()
+    if not words:
+        return bool(line and CLOSING.search(t, max(0, line - 40), line) and LINE_END.match(t, b))
+    last = words[-1].lower()
+    if last[-1] in ":：" and FIELD_END.match(t, b):
+        label = re.split(r"[.;,|(\[]", " ".join(words))[-1].lower().strip(" :：>*-\t")
+        return label in FIELDS
+    if last in DONE_TO or last in ("by", "von", "par") and len(words) > 1 and words[-2].lower() in DONE:
+        return True
+    return len(words) > 1 and (words[-2].lower(), last) in DONE_TO_2 or joined and last in AND
+
+
+def _general(t: str) -> Iterator[tuple[int, int]]:
+    """Spans that may be names by their context: full names, and single ones after salutations and titles."""
+    end = -1
+    for m in PAIR.finditer(t):
+        a, b = m.span()
+        joined = end >= 0 and t[end:a].strip() in AND
+        starts = [w.start() for w in _WORDS.finditer(t, a, b) if t[w.start()].isupper()]
+        # A cue at the beginning of a sentence has a capital too: the name may begin with a later word.
+        for at in [a, *starts[1:-1]]:
+            if _in_context(t, at, b, joined):
+                yield at, b
+                end = b
+                break
+    if any(w in t for w in SALUTATIONS):
+        for m in SALUTATION.finditer(t):
+            yield m.span("n")
+    if any(w in t for w in TITLED_PARTS):
+        for m in TITLED.finditer(t):
+            yield m.span("n")
+
+
 HAN_GENERAL = re.compile(r"(?:联系人|负责人|作者|姓名|收件人|发件人|审核|编辑|经办人|签名|签收人|申请人|客户)[：:][ ]?(?P<a>[一-鿿]{2,4})(?=[ 。，；、（(\n\r]|$)|请(?:找|联系|通知|询问)(?P<b>[一-鿿]{2,3})(?=确认|核对|处理|复核|[。，])|由(?P<c>[一-鿿]{2,3})(?=负责|审核|复核|确认|维护|签收|提交|录入)")
 # Capitalised words of institutions, places, gear and programs, none of which end or begin a person's name.
 NO_PERSON = frozenset(
@@ -311,26 +356,21 @@ def _names(t: str) -> Iterator[tuple[int, int, str]]:
     if HAN_GATE.search(t):
         for m in HAN_CUES.finditer(t):
             yield *m.span(m.lastgroup), "name"
-    for m in HAN_GENERAL.finditer(t):
-        yield *m.span(m.lastgroup), "name"
+    if "：" in t or "由" in t or "请" in t:
+        for m in HAN_GENERAL.finditer(t):
+            yield *m.span(m.lastgroup), "name"
     low = None
-    for pattern, parts in GENERAL:
-        if parts and not any(p in t for p in parts) or pattern is CLOSING and "\n" not in t:
+    for a, b in _general(t):
+        if t.startswith(" a ", b) and (sir := MONSIEUR.match(t[a:b])):
+            a += sir.end()
+        x = _bare(t, a, b)
+        words = re.findall(r"[^\s.,]{2,}", t[x[0] : x[1]]) if x else []
+        if not words or any(w in NO_PERSON or w in NOT_NAMES for w in words):
             continue
-        for m in pattern.finditer(t):
-            if pattern is DONE_BY and not DONE.search(t, max(0, m.start() - 16), m.start()):  # longer than any word of the list
-                continue
-            for a, b in [m.span("n")] + ([(m.start("m") + re.match(r"[  ]\w+[  ]", m["m"]).end(), m.end("m"))] if "m" in m.re.groupindex and m["m"] else []):
-                if t.startswith(" a ", b) and (sir := MONSIEUR.match(t[a:b])):
-                    a += sir.end()
-                x = _bare(t, a, b)
-                words = re.findall(r"[^\s.,]{2,}", t[x[0] : x[1]]) if x else []
-                if not words or any(w in NO_PERSON or w in NOT_NAMES for w in words):
-                    continue
-                # A word that the text also writes small is an ordinary word.
-                low = low if low is not None else frozenset(re.findall(r"[a-zà-ÿ]{2,}", t))
-                if not any(w[1:].islower() and w.lower() in low for w in words):
-                    yield x
+        # A word that the text also writes small is an ordinary word.
+        low = low if low is not None else frozenset(re.findall(r"[a-zà-ÿ]{2,}", t))
+        if not any(w[1:].islower() and w.lower() in low for w in words):
+            yield x
 
 
 def _ending(t: str, at: int) -> Iterator[tuple[int, int, str]]:
