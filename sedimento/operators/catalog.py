@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimento.functions import reading
+from sedimento.operators.ranking import numbered
 
 # Extensions by kind of preview, order of modalities, labels.
 IMAGE_EXT = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".webp", ".tif", ".tiff")
@@ -117,8 +118,9 @@ def class_map(samples: DataFrame) -> DataFrame:
 
 
 def class_ids(names: DataFrame) -> DataFrame:
-    """class_name, class_id: positions of the distinct names in order. The names are few: one window over them."""
-    return names.select("class_name").where("class_name is not null").distinct().select("class_name", (F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int").alias("class_id"))
+    """class_name, class_id: positions of the distinct names in order, numbered over range partitions."""
+    x = numbered(names.select("class_name").where("class_name is not null").distinct(), [], [F.col("class_name")])
+    return x.select("class_name", (F.col("rn") - 1).cast("int").alias("class_id"))
 
 
 def growth_trend(samples: DataFrame, now, span_days: int, step: str, label: str) -> DataFrame:

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimento.operators.ranking import looked_up, numbered
+from sedimento.session import cut
+
 TAIL, ALPHA, UNKNOWN_BELOW = 20, 2, 0.5
 
 
@@ -55,12 +58,10 @@ def openset_metrics(counts: DataFrame) -> DataFrame:
 def openset_labels(labels: DataFrame, baseline: DataFrame, known: int) -> DataFrame:
     """id, class_id: the `known` first classes of the baseline are numbered, its others get the number `known` (unknown).
 
-    Labels that the baseline does not have are dropped. Classes are few: their order is one small window.
+    Labels that the baseline does not have are dropped. Classes may be many: they are numbered over range partitions.
     """
-    from pyspark.sql import Window
-
-    classes = baseline.where("label is not null").select("label").distinct().withColumn("k", F.row_number().over(Window.orderBy("label")) - 1)
-    return labels.join(F.broadcast(classes), "label").select("id", F.least("k", F.lit(known)).cast("int").alias("class_id"))
+    classes = numbered(baseline.where("label is not null").select("label").distinct(), [], [F.col("label")]).select("label", (F.col("rn") - 1).alias("k"))
+    return looked_up(labels.select("id", "label"), cut(classes), "label", "id").where("k is not null").select("id", F.least("k", F.lit(known)).cast("int").alias("class_id"))
 
 
 def metric_compare(baseline: DataFrame, enhanced: DataFrame) -> DataFrame:

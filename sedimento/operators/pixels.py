@@ -178,21 +178,30 @@ def style_transfer(x: np.ndarray, g: Gen, strength: float = 0.7) -> np.ndarray:
     return to_bytes((1 - strength) * x.astype(float) + strength * edges(x)[..., None])
 
 
+def turned_hue(f: np.ndarray, degrees: float, saturation: float) -> np.ndarray:
+    """Colours (0..255) with hue moved and saturation scaled in the HSV hexcone; values stay."""
+    v, low = f.max(2), f.min(2)
+    c = v - low
+    safe = np.where(c > 0, c, 1)
+    r, g, b = (f[..., k] for k in range(3))
+    h = np.select([c == 0, v == r, v == g], [0.0, (g - b) / safe % 6, (b - r) / safe + 2], (r - g) / safe + 4)
+    s = np.clip(np.where(v > 0, c / np.where(v > 0, v, 1), 0) * saturation, 0, 1)
+    h = (h + degrees / 60) % 6
+    k = (np.array([5, 3, 1]) + h[..., None]) % 6
+    return v[..., None] * (1 - s[..., None] * np.clip(np.minimum(k, 4 - k), 0, 1))
+
+
 def color_space(x: np.ndarray, g: Gen, brightness: float = 0, contrast: float = 1, saturation: float = 1, hue: float = 0, pca_jitter: float = 0) -> np.ndarray:
+    """Contrast and brightness, then saturation and hue (in steps of two degrees) in HSV, then one colour shift along the
+    principal axes of the pixels. Fractions are cut off."""
     f = (x.astype(float) * contrast + brightness).clip(0, 255)
     if f.shape[2] == 3:
-        mean = f.mean(2, keepdims=True)
-        f = mean + (f - mean) * saturation
-        if hue:
-            a = np.deg2rad(hue)
-            u = np.ones((3, 3)) / 3
-            cross = np.array([[0, -1, 1], [1, 0, -1], [-1, 1, 0]]) / np.sqrt(3)
-            f = f @ (np.cos(a) * np.eye(3) + (1 - np.cos(a)) * u + np.sin(a) * cross).T
+        if saturation != 1 or hue:
+            f = turned_hue(np.floor(f), 2 * hue, saturation)
         if pca_jitter:
-            flat = f.reshape(-1, 3) / 255
-            val, vec = np.linalg.eigh(np.cov(flat.T) + 1e-9 * np.eye(3))
-            f = f + 255 * (vec @ (val * g.normal(0, pca_jitter, 3)))
-    return to_bytes(f)
+            val, vec = np.linalg.eigh(np.cov(f.reshape(-1, 3), rowvar=False))
+            f = f + pca_jitter * (vec @ (np.sqrt(np.maximum(val, 0)) * g.normal(0, 1, 3)))
+    return np.floor(f.clip(0, 255) + 1e-9).astype(np.uint8)
 
 
 def clarity(x: np.ndarray, g: Gen, blur_strength: float = 0, blur_kernel: int = 5, sharpen_strength: float = 0, sharpen_amount: float = 0.5) -> np.ndarray:
@@ -261,17 +270,24 @@ def channel_shuffle(x: np.ndarray, g: Gen, shuffle: bool = True) -> np.ndarray:
 
 
 def cross_modal(x: np.ndarray, g: Gen, clahe_clip: float = 2, ir_weight: float = 0.5) -> np.ndarray:
-    """A contrast-limited equalised brightness, tile by tile, mixed into the brightness of the image."""
+    """A contrast-limited equalised brightness, tile by tile and stretched to the whole range, mixed into the HSV value."""
     v = gray(x)
     tiles = np.zeros_like(v)
     for ys in np.array_split(np.arange(v.shape[0]), min(8, v.shape[0])):
         for xs in np.array_split(np.arange(v.shape[1]), min(8, v.shape[1])):
             t = v[np.ix_(ys, xs)]
             hist = np.bincount(to_bytes(t).ravel(), minlength=256).astype(float)
-            top = clahe_clip * t.size / 256
+            top = max(0.1, clahe_clip) * t.size / 256
             hist = np.minimum(hist, top) + np.maximum(hist - top, 0).sum() / 256
             tiles[np.ix_(ys, xs)] = (hist.cumsum() / hist.sum() * 255)[to_bytes(t)]
-    return to_bytes(x.astype(float) + ir_weight * (tiles - v)[..., None])
+    low, high = tiles.min(), tiles.max()
+    infrared = (tiles - low) / (high - low) * 255 if high - low > 1e-6 else np.zeros_like(tiles)
+    f = x.astype(float)
+    value = f.max(2)
+    new = (1 - ir_weight) * value + ir_weight * infrared
+    # With hue and saturation kept, a new value scales all channels; black has neither.
+    out = np.where(value[..., None] > 0, f * (new / np.where(value > 0, value, 1))[..., None], new[..., None])
+    return np.floor(out.clip(0, 255) + 1e-9).astype(np.uint8)
 
 
 def generator_fallback(x: np.ndarray, g: Gen) -> np.ndarray:

@@ -177,7 +177,7 @@ _IMAGES = {
     "img_deformation_distortion": partial(_pixels, flat, "deformation_distortion", elastic_strength=3.0, distortion_k1=0.1), "img_clarity": partial(_pixels, flat, "clarity", blur_strength=0.5, sharpen_strength=0.5), "img_style_transfer": partial(_pixels, flat, "style_transfer", strength=0.5),
     "img_erasing": partial(_pixels, flat, "occlusion", fill_mode="mean"), "img_vit_mae_fallback": partial(_pixels, flat, "vit_mae_fallback"), "img_wgan_gp_fallback": partial(_pixels, flat, "wgan_gp_fallback"),
     "img_deblur": partial(_repaired, "deblur"), "img_denoise": partial(_repaired, "denoise"), "img_high_pass": partial(_repaired, "high_pass"),
-    "img_cross_modal_fusion": partial(_picture_shapes, "cross_modal_fusion"), "img_diffusion_fallback": partial(_picture_shapes, "diffusion_fallback"), "img_snow": partial(_picture_shapes, "environment_simulation", snow_intensity=0.5, shadow_intensity=0.5),
+    "img_cross_modal_fusion": partial(_pixels, flat, "cross_modal_fusion"), "img_cross_modal_shapes": partial(_picture_shapes, "cross_modal_fusion"), "img_hue": partial(_pixels, colour, "color_space", hue=60.0), "img_diffusion_fallback": partial(_picture_shapes, "diffusion_fallback"), "img_snow": partial(_picture_shapes, "environment_simulation", snow_intensity=0.5, shadow_intensity=0.5),
 }
 _SOUNDS = {
     "wav_energy_amplitude": partial(_sounds, "energy_amplitude", volume_scale=0.5, mute_probability=0.0), "wav_reverse": partial(_sounds, "timeseries_structure", operation="reverse", reverse_probability=1.0), "wav_channel_config": partial(_sounds, "channel_config", target_channel="stereo", dither=0.0, swap_probability=0.0),
@@ -204,10 +204,12 @@ _copies = lambda bits: f"with {_G}, {_H}, u as (select id, {bits} as b from h un
 
 SQL = {
     "img_read": _px("px[k + 1]"), "img_flip": _px(_at("7 - y", "7 - x")), "img_shift": _px(f"case when x >= 2 then {_at('y', 'x - 2')} else 0 end"), "img_turn": _px(f"case when y = 0 or x = 0 then 0 else {_at('8 - y', '8 - x')} end"),
-    "img_color_space": _px("round_even(least(255, px[k + 1] * 1.5::double + 30), 0)"), "img_occlusion": _px("case when y % 4 < 2 and x % 4 < 2 then 0 else px[k + 1] end"),
+    "img_color_space": _px("floor(least(255, px[k + 1] * 1.5::double + 30))"), "img_occlusion": _px("case when y % 4 < 2 and x % 4 < 2 then 0 else px[k + 1] end"),
     "img_environment_simulation": _px("round_even(px[k + 1] * exp(-(1 - y / 7.0::double)) + 200 * (1 - exp(-(1 - y / 7.0::double))), 0)"), "img_imaging_simulation": _px(_at("y // 2 * 2", "x // 2 * 2")),
     **dict.fromkeys(("img_deformation_distortion", "img_clarity", "img_erasing", "img_vit_mae_fallback", "img_wgan_gp_fallback", "img_deblur", "img_denoise", "img_high_pass"), _FLAT), "img_style_transfer": _px("round_even(px[1] * 0.5::double, 0)"),
-    **dict.fromkeys(("img_cross_modal_fusion", "img_diffusion_fallback", "img_snow"), _PICTURE),
+    **dict.fromkeys(("img_cross_modal_shapes", "img_diffusion_fallback", "img_snow"), _PICTURE), "img_cross_modal_fusion": _px("floor(px[1] * 0.5::double)"),
+    # A third of a turn of the hue moves every channel to the next one.
+    "img_hue": f"with {_G}, q as (select k::int as k from range(63) r(k)) select id, (k // 21)::int as y, (k // 3 % 7)::int as x, (k % 3)::int as channel, px[k // 3 * 3 + (k + 2) % 3 + 1]::int as value from g, q",
     "img_channel_shuffle": f"with {_G}, q as (select k::int as k from range(21) r(k)), v as (select id, (k // 7)::int as y, (k % 7)::int as x, list_sort(px[3 * k + 1:3 * k + 3]) as v from g, q) select id, y, x, v[1]::int as v0, v[2]::int as v1, v[3]::int as v2 from v",
     "img_hashes": f"with {_G}, {_H} select id, {_HEX('d')} as dhash, {_HEX('a')} as ahash from h",
     "img_findings": f"""with {_G}, p as (select id, px, y, x, {_at(_near('y - 1'), 'x')} + {_at(_near('y + 1'), 'x')} + {_at('y', _near('x - 1'))} + {_at('y', _near('x + 1'))} - 4 * px[k + 1] as lap,
