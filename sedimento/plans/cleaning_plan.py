@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimento.functions import reading
 from sedimento.operators import cleaning, evaluate, generate, splits
+from sedimento.plans import text_plan
 from sedimento.plans.catalog_plan import _OP, LABELS_SQL
 from sedimento.session import table
 from sedimento.sources.files import IMAGE_EXT, collision_names
@@ -316,7 +317,10 @@ _told = lambda c, words: reduce(lambda x, ab: f"replace({x}, '{ab[0]}', '{ab[1]}
 _strat = lambda cases: f"""with r as (select label, count(*) as n from embeddings group by 1) {cases}"""
 _GROW = "s as (select id, name, row_number() over (order by id) - 1 as r from samples where status = 'raw'), g as (select unnest(range((select count(*) from s) * 3 // 2)) as i), o as (select i, id, name from g join s on s.r = i % (select count(*) from s))"
 
+_share = lambda issue, found: f"select '{issue}' as issue_type, 'repair' as suggested_action, count(*)::bigint as n, count(*) filter (round_even(least(1.0, changed / greatest(total, 1)::double), 4) >= 0.5)::bigint as confident from ({found}) group by 1, 2"
+
 SQL = {
+    "text_suggestions": " union all ".join(_share(i, text_plan.SQL[k]) for i, k in (("text_duplicate", "text_dedup_line"), ("text_stopwords", "stopwords"), ("text_unstemmed", "stemming"))),
     "exact_dup": f"with {_HASH}, f as (select h, min(id) as f from v group by 1) select id as sample_id, 'duplicate' as issue_type, 1.0::double as confidence, f as duplicate_of from v join f using (h) where id > f",
     "ahash_exact": """with x as (select vec_id as id, list_reduce(list_transform(embedding[1:62], lambda v: (v > 0)::bigint), lambda a, b: a * 2 + b) as bits from embeddings)
         select min(id) as "first", bits, count(*)::bigint - 1 as copies from x group by bits""",
@@ -373,6 +377,8 @@ SQL = {
         select id, not own and f is not null as labels_inherited, md5(coalesce(case when own then o else f end, '')) as labels_md5 from x""",
     "text_reverse": "select doc_id as id, (select string_agg(c, '' order by i desc) from (select unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i)) as text from documents",
     # Written out, not built from the operators' own lists.
+    "synonym_en_det": r"""with t as (select doc_id as id, array_to_string(list_transform(regexp_extract_all(text, '[\pL\pM\pN_]+'), lambda w: case lower(w) when 'fast' then 'quick' when 'small' then 'compact' when 'large' then 'big' when 'sample' then 'example' else w end), ' ') as t from documents)
+        select id, md5(t) as md5, length(t)::bigint as n from t""",
     "phrase_det": f"select doc_id as id, {_told('text', '鲁棒性 可靠性 提升 增强 增强 提升 泛化 泛化能力 保持 维持 好 优秀 坏 糟糕 大 巨大 小 微小 快 迅速 慢 缓慢')} as text from documents",
     "style_formal_det": f"select doc_id as id, {_told('text', '搞 进行 挺 相当 很 较为 非常 十分 特别 尤其 可能 或许 感觉 认为')} as text from documents",
     "style_casual_det": f"select doc_id as id, {_told('text', '进行 搞 相当 挺 较为 挺 十分 很 尤其 特别 或许 可能 认为 觉得')} as text from documents",
