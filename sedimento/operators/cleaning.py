@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from sedimento.functions import reading
 from sedimento.operators import hamming, pixels, textops
 from sedimento.operators.catalog import active_samples, operation
-from sedimento.operators.ranking import attach
-from sedimento.session import cut
+from sedimento.operators.ranking import attach, copied, hot_keys, salted
+from sedimento.session import cut, release
 
 SUGGESTION = ("sample_id", "issue_type", "suggested_action", "confidence", "message", "related_id")
 # Which status a suggestion may go to.
@@ -44,21 +44,26 @@ def leaders(prints: DataFrame, max_bits: int, width: int = hamming.BITS, nearest
     earlier neighbours include a leader is no leader; a node whose earlier neighbours are all decided otherwise is one.
     """
     value = ["algo", *hamming.words(width)]
-    nodes = cut(prints.groupBy(*value).agg(F.min("id").alias("node")))
+    nodes = cut(prints.groupBy(*value).agg(F.min("id").alias("node"), F.count("*").alias("n")))
     pairs = hamming.near_pairs(nodes, nodes, max_bits, ["node"], width, later_than="node").select(F.col("e_node").alias("late"), F.col("t_node").alias("early"), "bits")
     pairs = cut(pairs)
+    near_many = hot_keys(pairs, ["early"])  # fingerprints that very many are near to
+    spread = salted(pairs, near_many, ["early"], "late")
+    of_early = lambda states: copied(states.withColumnRenamed("node", "early"), near_many, ["early"])
     late = pairs.select(F.col("late").alias("node")).distinct()
     first = pairs.select(F.col("early").alias("node")).distinct().join(late, "node", "left_anti")
     state = cut(late.withColumn("s", F.lit(0)).unionByName(first.withColumn("s", F.lit(1))))  # 0 open, 1 leads, 2 follows
     while state.where("s = 0").limit(1).count():
-        seen = pairs.join(state.select(F.col("node").alias("early"), "s"), "early").groupBy(F.col("late").alias("node")).agg(F.max((F.col("s") == 1).cast("int")).alias("led"), F.min((F.col("s") == 2).cast("int")).alias("free"))
+        seen = spread.join(of_early(state), ["early", "salt__"]).groupBy(F.col("late").alias("node")).agg(F.max((F.col("s") == 1).cast("int")).alias("led"), F.min((F.col("s") == 2).cast("int")).alias("free"))
         now = F.when(F.col("s") != 0, F.col("s")).when(F.col("led") == 1, 2).when(F.col("free") == 1, 1).otherwise(0)
-        state = cut(state.join(seen, "node", "left").select("node", now.alias("s")))
-    led = pairs.join(state.where("s = 1").select(F.col("node").alias("early")), "early").join(state.where("s = 2").select(F.col("node").alias("late")), "late")
+        old, state = state, cut(state.join(seen, "node", "left").select("node", now.alias("s")))
+        release(old)
+    led = spread.join(of_early(state.where("s = 1").select("node")), ["early", "salt__"]).drop("salt__").join(state.where("s = 2").select(F.col("node").alias("late")), "late")
     best = F.struct("bits", "early") if nearest else F.struct("early", "bits")
     near = led.groupBy(F.col("late").alias("node")).agg(F.min(best).alias("x")).select("node", "x.bits", F.col("x.early").alias("leader"))
-    follow = nodes.join(near, "node", "left").withColumn("leader", F.coalesce("leader", "node")).withColumn("bits", F.coalesce("bits", F.lit(0)))
-    return prints.join(follow, value).where("id <> leader").select("id", F.col("leader").alias("leader_id"), F.col("bits").cast("int").alias("bits"))
+    follow = nodes.drop("n").join(near, "node", "left").withColumn("leader", F.coalesce("leader", "node")).withColumn("bits", F.coalesce("bits", F.lit(0)))
+    copies = hot_keys(nodes, value, counted="n")
+    return salted(prints, copies, value, "id").join(copied(follow, copies, value), [*value, "salt__"]).where("id <> leader").select("id", F.col("leader").alias("leader_id"), F.col("bits").cast("int").alias("bits"))
 
 
 def near_duplicates(samples: DataFrame, max_bits: int = 10, min_confidence: float = 0.75, hash_size: int = 8) -> DataFrame:
