@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,19 +40,29 @@ def _delete(spark: SparkSession, path: str) -> None:
 _runs: dict[str, str] = {}
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove this program's written tables; what was read from them can't be read again. Happens at the program's end too,
+    if the session still runs then: programs that stop it earlier call this first."""
+    path = _runs.pop(spark.sparkContext.applicationId, None)
+    if path:
+        _delete(spark, path)
+
+
 def _run_folder(spark: SparkSession) -> str:
-    """The folder of this program's written tables; it is removed when the program ends."""
+    """The folder of this program's written tables."""
     app = spark.sparkContext.applicationId
     if app not in _runs:
         _runs[app] = f"{checkpoint_dir(spark).rstrip('/')}/sedimento-{uuid.uuid4().hex}"
 
-        def clean(path: str = _runs[app]) -> None:
+        def at_end() -> None:
+            path = _runs.get(app)
             try:
-                _delete(spark, path)
+                clean(spark)
             except Exception:  # noqa: BLE001 the session has ended before
-                pass
+                if path and path.startswith("file:"):
+                    shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
 
-        atexit.register(clean)
+        atexit.register(at_end)
     return _runs[app]
 
 

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from sedimento import session
 from sedimento.operators import ranking as R
 
 
@@ -19,3 +22,17 @@ def test_values_looked_up_with_and_without_broadcast(spark, monkeypatch):
     want = sorted((r.id, r.v) for r in R.looked_up(rows, values, "k", "id").collect() if r.v)
     monkeypatch.setattr(R, "MAX_HOT", 3)
     assert sorted((r.id, r.v) for r in R.looked_up(rows, values, "k", "id").collect() if r.v) == want and len(want) == 300
+
+
+def test_written_tables_are_removed(spark):
+    import os
+
+    a = session.cut(spark.range(5))
+    b, seen = session.cut_counted(spark.range(7), n=F.count("*"))
+    assert a.count() == 5 and seen["n"] == 7 == b.count()
+    place = a.written_to.removeprefix("file://")
+    assert os.path.isdir(place)
+    session.release(a, spark.range(3))
+    assert not os.path.isdir(place) and b.count() == 7
+    session.clean(spark)
+    assert not os.path.isdir(b.written_to.removeprefix("file://")) and session.cut(spark.range(2)).count() == 2
