@@ -109,7 +109,11 @@ def _keys(width: int, cut: list[list[int]], turned: int) -> Column:
             continue
         flips = [_masks(width, c) for n in range(turned + 1) for c in combinations(band, n)]
         turns = F.array(*[F.struct(*[_long(f[i]).alias(f"m{i}") for i in used]) for f in flips])
-        out.append(F.transform(turns, lambda m, values=values, used=used, key=key: key([v.bitwiseXOR(m[f"m{i}"]) for v, i in zip(values, used, strict=True)])))
+
+        def turned_key(m: Column) -> Column:  # Spark takes functions of the element (and its place) only, without defaults; it is called at once
+            return key([v.bitwiseXOR(m[f"m{i}"]) for v, i in zip(values, used, strict=True)])  # noqa: B023
+
+        out.append(F.transform(turns, turned_key))
     return F.concat(*out)
 
 

@@ -1,6 +1,7 @@
 import random
 
 from sedimento.llm import cross_split as X
+from sedimento.operators import hamming
 
 SCHEMA = "id long, sha256 string, labels_json string, metadata_json string, split string, hash string, train boolean, key long"
 
@@ -34,3 +35,23 @@ def test_hashes_dirt_and_report(spark):
     assert got == {(2, 1, True, False), (8, 1, True, False)}
     assert {(x.split, x.origin, x.pairs) for x in X.overlap_report(df).collect()} >= {("validation", "lab", 1)}
     assert X.overlaps(df.where("false")).collect() == []
+
+
+def test_bands_for_any_number_of_rows_lose_no_pair(spark, monkeypatch):
+    """The bands depend on the number of rows, so the choice for many rows is tried on few."""
+    r = random.Random(5)
+    base = [r.getrandbits(144) for _ in range(6)]
+    values = set()
+    for _ in range(120):
+        b = r.choice(base)
+        for k in r.sample(range(144), r.randrange(0, 10)):
+            b ^= 1 << k
+        values.add(b)
+    rows = [("d", b >> 96, b >> 48 & (1 << 48) - 1, b & (1 << 48) - 1) for b in sorted(values)]
+    df = spark.createDataFrame(rows, "algo string, f0 long, f1 long, f2 long")
+    want = sum((a ^ b).bit_count() <= 10 for a in values for b in values)
+    choose = hamming.bands
+    for n in (10, 1_000, 100_000, 2_000_000, 100_000_000):
+        monkeypatch.setattr(hamming, "bands", lambda width, max_bits, *_, n=n: choose(width, max_bits, n, n))
+        got = [tuple(x) for x in hamming.near_pairs(df, df, 10).collect()]
+        assert len(got) == len(set(got)) == want > len(values)
