@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sedimento.operators import cleaning, evaluate, generate, ranking, splits
+from sedimento.operators import cleaning, evaluate, generate, hamming, ranking, splits
 from sedimento.plans import cleaning_plan
 from sedimento.registry import default_registry
 from sedimento.sources import files
@@ -44,6 +44,21 @@ def test_leaders_equal_the_greedy_loop(spark, seed):
     assert {x.id: (x.leader_id, x.bits) for x in cleaning.leaders(df, 8).collect()} == greedy(prints, 8)
 
 
+@pytest.mark.parametrize("rows", [300_000, 100_000_000])
+def test_leaders_in_the_buckets_of_many_rows(spark, monkeypatch, rows):
+    """Up to about 300,000 fingerprints there were bands without turned values only."""
+    choose = hamming.bands
+    monkeypatch.setattr(hamming, "bands", lambda width, most, *_: choose(width, most, rows, rows))
+    test_leaders_equal_the_greedy_loop(spark, 1)
+
+
+def test_near_values_share_a_bucket():
+    r = random.Random(4)
+    for width, most, rows in ((144, 10, 10), (144, 10, 10**6), (144, 10, 10**8), (64, 6, 10**6), (28, 3, 10**5), (256, 40, 10**6), (64, 0, 10**6)):
+        buckets = [set(x) for x in hamming.bands(width, most, rows, rows)]
+        assert len(buckets) <= 64 and all(any(not x & d for x in buckets) for d in (set(r.sample(range(width), most)) for _ in range(500)))
+
+
 @pytest.mark.parametrize(("width", "most"), [(64, 6), (64, 20), (28, 0), (256, 40)])
 def test_leaders_of_any_width_and_threshold(spark, width, most):
     r = random.Random(width + most)
