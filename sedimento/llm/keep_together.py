@@ -8,7 +8,9 @@ of rounds grows with the logarithm of the longest chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimento.functions import reading
@@ -17,6 +19,8 @@ from sedimento.session import cut, release
 
 MAX_SPLITS = 1000
 GIANT = 200  # a group with more than a GIANT-th of all samples is placed by its size: fewer than GIANT groups
+CLOSE = 0.002  # shares this near their targets need no further correction
+CORRECTIONS = 10
 
 
 def components(links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -83,7 +87,8 @@ def assign(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     Weighted rendezvous hashing: a group goes to the split with the smallest -ln(u) / weight, u a hash of group and
     split. Adding a split or changing a share moves only as many groups as it must. Groups with more than a GIANT-th of
     all samples would make shares a matter of luck: they are placed first, each in the split that lacks most, and the
-    weights of the others are what is then left. Targets that are null or not above zero get nothing.
+    weights of the others are what is then left. What the hashes of few or uneven groups still miss is mended by correcting
+    the weights until the samples they give each split are what was left. Targets that are null or not above zero get nothing.
     """
     wanted = [(r["split_name"], float(r["target_share"])) for r in targets.where("split_name is not null and target_share > 0").limit(MAX_SPLITS + 1).collect()]
     if len(wanted) > MAX_SPLITS:
@@ -92,9 +97,11 @@ def assign(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
         raise ValueError("no split has a positive share")
     known = cut(facts(samples))
     every = cut(known.select("id").distinct().join(grouped(known), "id", "left").select(F.col("id").alias("sample_id"), F.coalesce("component", "id").alias("group_id")))
-    total = every.count()
+    sizes = cut(every.groupBy("group_id").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     # Fewer than GIANT groups can be that large.
-    giants = every.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n") > max(total // GIANT, 1)).orderBy(F.desc("n"), "group_id").collect()
+    giant = F.col("n") > max(total // GIANT, 1)
+    giants = sizes.where(giant).orderBy(F.desc("n"), "group_id").collect()
     all_shares = sum(s for _, s in wanted)
     left = {name: share / all_shares * total for name, share in sorted(wanted)}
     placed = {}
@@ -102,17 +109,38 @@ def assign(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
         name = max(left, key=lambda k: (left[k], k))
         placed[r["group_id"]] = name
         left[name] -= r["n"]
-    weights = {name: room for name, room in left.items() if room > 0} or dict(wanted)
-    bids = []
-    for name, weight in weights.items():
-        u = (F.pmod(F.xxhash64(F.col("group_id"), F.lit(name), F.lit(seed)), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
-        bids.append(F.struct((-F.log(u) / F.lit(weight)).alias("bid"), F.lit(name).alias("split")))
-    best = F.array_min(F.array(*bids))["split"]
+    goal = {name: room for name, room in left.items() if room > 0} or dict(wanted)
+
+    def by_hash(weights: dict[str, float]) -> Column:
+        bids = []
+        for name, weight in weights.items():
+            u = (F.pmod(F.xxhash64(F.col("group_id"), F.lit(name), F.lit(seed)), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
+            bids.append(F.struct((-F.log(u) / F.lit(weight)).alias("bid"), F.lit(name).alias("split")))
+        return F.array_min(F.array(*bids))["split"]
+
+    best = by_hash(_corrected(sizes.where(~giant), goal, by_hash, total))
     if placed:
-        best = F.coalesce(F.create_map(*[F.lit(x) for kv in placed.items() for x in kv])[F.col("group_id")], best)
+        best = F.coalesce(F.create_map(*[x for k, v in placed.items() for x in (F.lit(k).cast("long"), F.lit(v))])[F.col("group_id")], best)
     return every.select("sample_id", "group_id", best.alias("split"))
 
 
+def _corrected(sizes: DataFrame, goal: dict[str, float], by_hash: Callable[[dict[str, float]], Column], total: int) -> dict[str, float]:
+    """Weights whose splits hold the samples of goal as nearly as was found; sizes: group_id, n."""
+    weights, best = dict(goal), (float("inf"), dict(goal))
+    for _ in range(CORRECTIONS):
+        got = {r["split"]: r["n"] for r in sizes.groupBy(by_hash(weights).alias("split")).agg(F.sum("n").alias("n")).collect()}
+        all_got = sum(got.values())
+        if not all_got or len(goal) == 1:
+            return goal
+        want = {k: v / sum(goal.values()) * all_got for k, v in goal.items()}
+        off = max(abs(got.get(k, 0) - v) for k, v in want.items()) / total
+        best = min(best, (off, weights), key=lambda x: x[0])
+        if off <= CLOSE:
+            break
+        weights = {k: weights[k] * min(2.0, max(0.5, want[k] / max(got.get(k, 0), 1e-9))) for k in weights}
+    return best[1]
+
+
 def balance(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """split_name, target_share, samples, share: what came out."""
     got = assigned.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("samples"))

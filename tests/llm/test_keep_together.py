@@ -74,3 +74,26 @@ def test_giant_groups_do_not_upset_the_shares(spark):
     r = K.checked(assigned, targets).first()
     assert (r.samples, r.groups, r.torn_groups, r.balanced) == (3000, 1702, 0, True)
     assert K.checked(assigned.where("false"), targets).first().samples == 0
+
+
+def test_shares_of_a_small_table_with_uneven_groups(spark):
+    """Groups of 1 to 9 of 2,000 samples: hashes alone miss the targets by more than the tolerance."""
+    r = random.Random(9)
+    rows, code = [], 0
+    while len(rows) < 2000:
+        code += 1
+        rows += [(len(rows) + k, None, label(f"AA-{code:08d}"), None) for k in range(1, r.choice([1, 1, 2, 5, 10]))]
+    s = frame(spark, rows)
+    targets = spark.createDataFrame([("train", 0.7), ("test", 0.2), ("validation", 0.1)], "split_name string, target_share double")
+    for seed in (1, 2, 3, 4):
+        c = K.checked(K.assign(s, targets, seed), targets, tolerance=0.008).first()
+        assert (c.samples, c.torn_groups, c.balanced) == (len(rows), 0, True)
+
+
+def test_group_numbers_of_any_size_beside_small_giants(spark):
+    """A large group named by a small number, and a code that is no int."""
+    codes = [None] * 40 + ["ZZ-99999999"]
+    s = frame(spark, [(i, 1 if 1 < i < 21 else None, label(c), None) for i, c in enumerate(codes, 1)])
+    targets = spark.createDataFrame([("train", 0.7), ("test", 0.3)], "split_name string, target_share double")
+    got = K.assign(s, targets).collect()
+    assert len(got) == 41 and len({x.split for x in got if x.group_id == 1}) == 1 and min(x.group_id for x in got) < -(1 << 31)
